@@ -5,11 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, credentials, decontam, langid, substring_dedup, suffix_array, url_templates
 from tessera.session import table
 
 
+def _dedup_digest(rows: DataFrame) -> DataFrame:
+    return rows.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedup_digest(substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedup_digest(suffix_array.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judge(pages).select("row.page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs).select(
+        "row.doc_id", F.coalesce(langid.held_out("row.doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,9 +46,73 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return credentials.report(docs).select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op3_suffix_array": op3_suffix_array,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_url_filter": op6_url_filter,
+        "op7_language": op7_language,
+        "op9_bpe": op9_bpe,
+        "op10_secrets": op10_secrets,
+    }
+
+
+def _windows_sql(n: int) -> str:
+    """Words of windows of n that start in a smaller document too."""
+    return f"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), starts AS (
+      SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM words WHERE len(w) >= {n} AND doc_id IS NOT NULL
+    ), windows AS (
+      SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + {n - 1}), ' ')) AS k FROM starts
+    ), least AS (
+      SELECT k, min(doc_id) AS d FROM windows GROUP BY k
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS j FROM windows JOIN least USING (k) WHERE d < doc_id
+    ), lists AS (
+      SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+           sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' '), '')) AS kept_sha256
+    FROM words LEFT JOIN lists USING (doc_id)
+    """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": _windows_sql(substring_dedup.WINDOW),
+        "op3_suffix_array": _windows_sql(suffix_array.WINDOW),
+        "op5_decontaminate": r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), bw AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS k
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)
+    ), sizes AS (SELECT DISTINCT n FROM bw),
+    dw AS (
+      SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+    ), hits AS (
+      SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)
+    ), hit AS (
+      SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
+    ), items AS (
+      SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(s, ',' ORDER BY s) AS joined
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    }
