@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +42,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a compressed table in the shared folder, which goes with the session."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    _left.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_left: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete the tables that written() made, as far as the session is still there."""
+    with contextlib.suppress(Exception):
+        for spark, path in _left:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
