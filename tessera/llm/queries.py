@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, credentials, decontam, langid, substring_dedup, suffix_array, url_templates
+from tessera.llm import ann, bpe, cotrain, credentials, decontam, langid, order_minhash, substring_dedup, suffix_array, url_templates
 from tessera.session import table
 
 
@@ -19,10 +19,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup_digest(substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "class_id", (F.col("row.doc_id") != F.col("class_id")).alias("duplicate"))
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup_digest(suffix_array.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +48,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,10 +67,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_order_minhash": op2_order_minhash,
         "op3_suffix_array": op3_suffix_array,
+        "op4_quality": op4_quality,
         "op5_decontaminate": op5_decontaminate,
         "op6_url_filter": op6_url_filter,
         "op7_language": op7_language,
+        "op8_neighbours": op8_neighbours,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
     }
