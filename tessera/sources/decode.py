@@ -245,56 +245,16 @@ _COSINES = np.array([[(math.sqrt(0.5) if u == 0 else 1.0) * math.cos((2 * x + 1)
 
 
 class _Entropy:
-    """Bits of a scan, with stuffed zeros taken out; stops at the first marker."""
+    """Bits of a scan, with stuffed zeros taken out, over a window of bytes that moves along; ends at the first marker."""
 
     def __init__(self, data: bytes, at: int) -> None:
-        end = at
-        while True:
-            end = data.find(b"\xff", end)
-            if end < 0:
-                end = len(data)
-                break
-            if data[end + 1 : end + 2] != b"\x00":
-                break
-            end += 2
-        self.rest = data[end:]
-        self.bits = int.from_bytes(body := data[at:end].replace(b"\xff\x00", b"\xff"), "big")
-        self.left = 8 * len(body)
-
-    def peek(self, n: int) -> int:
-        """The next n bits, ones behind the end."""
-        short = n - self.left
-        return ((self.bits << short) | ((1 << short) - 1)) & ((1 << n) - 1) if short > 0 else (self.bits >> -short) & ((1 << n) - 1)
-
-    def take(self, n: int) -> int:
-        _require(n <= self.left, TRUNCATED)
-        self.left -= n
-        return (self.bits >> self.left) & ((1 << n) - 1)
-
-
-def _in_parts(reader: _Entropy) -> _Entropy:
-    """Long scans are read from a window, as shifting one huge number for every code would be quadratic."""
-    return reader
-
-
-class _Window(_Entropy):
-    """The same, over a window of bytes that moves along."""
-
-    def __init__(self, data: bytes, at: int) -> None:
-        end = at
-        while True:
-            end = data.find(b"\xff", end)
-            if end < 0:
-                end = len(data)
-                break
-            if data[end + 1 : end + 2] != b"\x00":
-                break
-            end += 2
+        end = data.find(b"\xff", at)
+        while end >= 0 and data[end + 1 : end + 2] == b"\x00":
+            end = data.find(b"\xff", end + 2)
+        end = len(data) if end < 0 else end
         self.rest = data[end:]
         self.body = data[at:end].replace(b"\xff\x00", b"\xff")
-        self.at = 0
-        self.bits = self.left = 0
-        self._fill()
+        self.at = self.bits = self.left = 0
 
     def _fill(self) -> None:
         part = self.body[self.at : self.at + 64]
@@ -303,18 +263,22 @@ class _Window(_Entropy):
         self.left += 8 * len(part)
 
     def peek(self, n: int) -> int:
+        """The next n bits, ones behind the end."""
         if self.left < n and self.at < len(self.body):
             self._fill()
-        return super().peek(n)
+        short = n - self.left
+        return ((self.bits << short) | ((1 << short) - 1)) & ((1 << n) - 1) if short > 0 else (self.bits >> -short) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
         if self.left < n and self.at < len(self.body):
             self._fill()
-        return super().take(n)
+        _require(n <= self.left, TRUNCATED)
+        self.left -= n
+        return (self.bits >> self.left) & ((1 << n) - 1)
 
 
-def _huffman(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
-    """All 16-bit beginnings to (length, symbol)."""
+def _huffman(counts: bytes, symbols: bytes) -> dict[int, int]:
+    """length << 16 | code to symbol."""
     table, code, k = {}, 0, 0
     for length, count in enumerate(counts, 1):
         for _ in range(count):
@@ -452,7 +416,7 @@ def _scan(data: bytes, at: int, frame: tuple, quant: dict, codes: dict, selector
     top_h, top_v = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * top_h)), -(-height // (8 * top_v))
     grids = [np.zeros((down * v, across * h, 64)) for _, h, v, _ in parts]
-    reader, previous = _Window(data, at), [0] * len(parts)
+    reader, previous = _Entropy(data, at), [0] * len(parts)
     for y in range(down):
         for x in range(across):
             for k, (_, h, v, _) in enumerate(parts):
