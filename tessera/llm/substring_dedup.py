@@ -21,7 +21,7 @@ from tessera.llm.windows import Segment, removed, without
 #: Words of a window: the length threshold of removed spans.
 WINDOW = 13
 #: Words of an anchor.
-ANCHOR = 7
+ANCHOR = 5
 
 
 class SuffixAutomaton:

@@ -13,7 +13,7 @@ removed intervals of each document come back to it by its key.
   neighbours in each) isn't held in memory: it streams its windows, as 128-bit codes, to a grouped minimum instead,
   which combines before its shuffle and is spread over all windows.
 
-Keys are the document's id and a hash of its text, so that rows with equal ids are kept apart. Rows with a null id or
+Keys are the document's id and 16 bits of a hash of its text, so that rows with equal ids are kept apart. Rows with a null id or
 text are neither references nor do they lose words.
 """
 
@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import cut
+from tessera.session import written
 
 #: Characters of text that a task takes together before it sends segments.
 GROUP_CHARS = 8_000_000
@@ -38,6 +38,8 @@ GROUP_CHARS = 8_000_000
 SHARD_SEGMENTS = 2_000_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Anchors are told apart by 48 bits; words are compared when they are matched.
+_CODE = np.uint64((1 << 48) - 1)
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -94,6 +96,7 @@ def segments_of(words: list[bytes], ends: np.ndarray, n: int, m: int) -> tuple[n
     prefix = _prefix(codes)
     at = np.arange(max(0, total - m + 1))
     anchors = _stretch(prefix, at, at + m)
+    anchors &= _CODE
     best = _least(anchors, n - m + 1)
     doc_end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[: len(best)]
     start = np.flatnonzero(np.arange(len(best)) + n <= doc_end)
@@ -126,7 +129,7 @@ def _unpacked(block: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-_META = [np.uint64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
+_META = [np.uint64, np.int32, np.int32, np.int32, np.int32, np.int64, np.uint16]
 _FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -179,14 +182,13 @@ def _requests(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], n: int, m
     sent_doc, sent_at = doc[sent], at[sent]
     edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[head]) != 0, [True]]))
     cut_from, cut_to = offset[begin[head]].tolist(), (offset[begin[head] + count[head] + n - 1] - 1).tolist()
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=5).compress
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         a, b = held[x], held[y]
         own, of = np.unique(sent_doc[a:b], return_inverse=True)
         first = head[x:y]
-        meta = _packed(
-            code[first], (anchor[first] - begin[first]).astype(np.int32), holders[x:y], of.astype(np.int32), sent_at[a:b], ids[own], hashes[own]
-        )
+        steps = np.diff(code[first], prepend=np.uint64(0))
+        meta = _packed(steps, (anchor[first] - begin[first]).astype(np.int32), holders[x:y], of.astype(np.int32), sent_at[a:b], ids[own], hashes[own])
         yield int(bucket[first[0]]), meta, squeeze(b"\n".join([blob[i:j] for i, j in zip(cut_from[x:y], cut_to[x:y], strict=True)]))
     if len(answers[0]):
         order = np.argsort(answers[0], kind="stable")
@@ -199,7 +201,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, m: int, buckets: int) -> It
     names = ["bucket", "meta", "words"]
 
     def flush() -> pa.RecordBatch | None:
-        rows = list(_requests(np.array(ids, np.int64), np.array(hashes, np.int64), texts, n, m, buckets))
+        rows = list(_requests(np.array(ids, np.int64), np.array(hashes, np.uint16), texts, n, m, buckets))
         kinds = (pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -267,7 +269,7 @@ class _Shard:
         """Match the segments of all minimisers that several documents hold."""
         if not self.blocks:
             return
-        code = np.concatenate([b[0][0] for b in self.blocks])
+        code = np.concatenate([np.cumsum(b[0][0], dtype=np.uint64) for b in self.blocks])
         anchor = np.concatenate([b[0][1] for b in self.blocks])
         holders = np.concatenate([b[0][2] for b in self.blocks])
         doc = np.concatenate([b[0][5][b[0][3]] for b in self.blocks])
@@ -352,20 +354,24 @@ def _match(batches: Iterator[pa.RecordBatch], n: int, matcher: Matcher) -> Itera
             if meta.is_valid:
                 yield from shard.add(meta.as_py(), words.as_py())
             else:  # answers that a task knew before the shuffle
-                of, at, size, ids, hashes = _unpacked(words.as_py(), [np.int32, np.int32, np.int32, np.int64, np.int64])
+                of, at, size, ids, hashes = _unpacked(words.as_py(), [np.int32, np.int32, np.int32, np.int64, np.uint16])
                 yield _answers(ids[of], hashes[of], at, size)
     yield from shard.answers()
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF))
+
+
 def removed(docs: DataFrame, matcher: Matcher, n: int, m: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, starts, sizes): the removed stretches of words of each document that has any."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * parts
-    source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col))
+    source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), _text_hash(text_col), F.col(text_col))
     sent = source.mapInArrow(lambda it: _send(it, n, m, buckets), "bucket int, meta binary, words binary")
     dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = cut(dealt.mapInArrow(lambda it: _match(it, n, matcher), _FOUND))
+    found = written(dealt.mapInArrow(lambda it: _match(it, n, matcher), _FOUND))
     answers = found.where(F.col("codes").isNull()).select("doc_id", "text_hash", "starts", "sizes")
     windows = found.where(F.col("codes").isNotNull()).select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "codes")).alias("w"))
     windows = windows.select("doc_id", "text_hash", F.col("w.starts").alias("start"), F.col("w.codes.a").alias("a"), F.col("w.codes.b").alias("b"))
@@ -379,10 +385,18 @@ def removed(docs: DataFrame, matcher: Matcher, n: int, m: int, id_col: str = "do
     )
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = [squeeze(t.as_py().encode()) if t.is_valid else None for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], batch.schema.names)
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, n_words, n_removed, spans, kept): all other columns, the removed stretches of words, and the kept words joined by spaces."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    left = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    left = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("_id"), _text_hash(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    left = left.mapInArrow(_squeezed, T.StructType([*left.schema.fields[:3], T.StructField("_text", T.BinaryType())]))  # less to shuffle
     joined = left.join(gone, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left").select("row", "_text", "starts", "sizes")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType(
@@ -390,10 +404,11 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, lost, spans, kept = [], [], [], []
             for text, starts, counts in zip(*batch.columns[1:], strict=True):
-                words = (text.as_py() or "").encode().split()
+                words = expand(text.as_py()).split() if text.is_valid else []
                 sizes.append(len(words))
                 if not starts.is_valid:
                     lost.append(0)
