@@ -1,7 +1,7 @@
 """The contracts of images, exports, hybrid output, certificates, requests, data sets, runs, benchmarks, models and packages.
 
-Every function takes SQL paths to struct columns and gives a Column with the first error. Field names are those of the
-records; schema names and limits are parameters. Canonical reports are Columns with the exact text that is digested.
+Every function takes SQL paths to struct columns and gives a Column with the first error. Paths can't begin with x or i,
+which stand for the items of lists and their numbers. Field names are those of the records; schema names and limits are parameters. Canonical reports are Columns with the exact text that is digested.
 """
 
 from __future__ import annotations
@@ -378,7 +378,7 @@ def certified_response_report(r: str, c: str, error: Column, schema: str) -> Col
 def split_of(digest: Column, seed: int) -> Column:
     """Train, Validation or Test by the first 16 digits, as unsigned 64 bits, mixed with the seed; a bad digest is Train."""
     signed = F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint").bitwiseXOR(F.lit(seed))
-    unsigned = F.when(signed < 0, signed.cast("decimal(20,0)") + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(signed.cast("decimal(20,0)"))
+    unsigned = F.when(signed < 0, signed.cast("decimal(20,0)") + F.expr("CAST('18446744073709551616' AS DECIMAL(20, 0))")).otherwise(signed.cast("decimal(20,0)"))
     bucket = unsigned % 100
     return F.when(~digest.rlike(r"^[0-9a-fA-F]{64}\z"), "Train").when(bucket < 80, "Train").when(bucket < 90, "Validation").otherwise("Test")
 

@@ -249,7 +249,7 @@ def boundary_points(mask: str, threshold: int = 128) -> Column:
 
 def directed_p95(a: str, b: str) -> Column:
     """For small images: the distance at index (n - 1) * 95 div 100 from points of column a to those of b; infinite if one is empty."""
-    nearest = f"transform({a}, p -> sqrt(CAST(array_min(transform({b}, q -> (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS DOUBLE)))"
+    nearest = f"transform({a}, _s -> sqrt(CAST(array_min(transform({b}, _t -> (_s.x - _t.x) * (_s.x - _t.x) + (_s.y - _t.y) * (_s.y - _t.y))) AS DOUBLE)))"
     return F.expr(f"CASE WHEN size({a}) < 1 OR size({b}) < 1 THEN double('infinity') ELSE get(array_sort({nearest}), CAST((size({a}) - 1) * 95 DIV 100 AS INT)) END")
 
 

@@ -29,30 +29,56 @@ def shifted(plane: str, dx: int, dy: int, width: str = "width", height: str = "h
     return f"CASE WHEN {' AND '.join(ok)} THEN {value} END" if ok else value
 
 
+def bound(names: dict[str, str], body: str) -> Column:
+    """body, an SQL expression, in which each name stands for a value that is computed once a row.
+
+    A column that a lambda function reads would be put into it by the optimiser, and computed for every pixel.
+    """
+    for name, value in reversed(names.items()):
+        body = f"get(transform(array({value}), {name} -> {body}), 0)"
+    return F.expr(body)
+
+
+def _pixels(body: str) -> str:
+    return f"transform(sequence(0, width * height - 1), i -> {body})"
+
+
 def _around(plane: str) -> str:
     return "array(" + ", ".join(shifted(plane, dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"
 
 
-def local_min(plane: str) -> Column:
-    return F.expr(f"transform(sequence(0, width * height - 1), i -> array_min({_around(plane)}))")
-
+def _low(plane: str) -> str:
+    return _pixels(f"array_min({_around(plane)})")
 
-def local_max(plane: str) -> Column:
-    return F.expr(f"transform(sequence(0, width * height - 1), i -> array_max({_around(plane)}))")
 
+def _high(plane: str) -> str:
+    return _pixels(f"array_max({_around(plane)})")
 
-def local_mean(plane: str) -> Column:
-    """Mean of the clipped 3 by 3 window, summed row by row, as float."""
-    total = f"aggregate(filter({_around(plane)}, v -> v IS NOT NULL), struct(0D AS s, 0 AS n), (t, v) -> struct(t.s + CAST(v AS DOUBLE) AS s, t.n + 1 AS n))"
-    return F.expr(f"transform(transform(sequence(0, width * height - 1), i -> {total}), t -> CAST(t.s / t.n AS FLOAT))")
 
+def _mean(plane: str, alpha: str | None = None) -> str:
+    """Mean of the clipped 3 by 3 window, summed row by row, as float; with an alpha, of a premultiplied plane by it.
 
-def weighted_mean(plane: str, alpha: str) -> Column:
-    """Mean of a premultiplied plane by its alpha, put back to the pixel's own alpha; zero where either alpha is."""
+    A weighted mean is put back to the pixel's own alpha; it is zero where either alpha is.
+    """
+    if not alpha:
+        total = f"aggregate(filter({_around(plane)}, v -> v IS NOT NULL), struct(0D AS s, 0 AS n), (t, v) -> struct(t.s + CAST(v AS DOUBLE) AS s, t.n + 1 AS n))"
+        return f"transform({_pixels(total)}, t -> CAST(t.s / t.n AS FLOAT))"
     fold = lambda p: f"aggregate(filter({_around(p)}, v -> v IS NOT NULL), 0D, (s, v) -> s + CAST(v AS DOUBLE))"
     sums = f"struct({fold(plane)} AS c, {fold(alpha)} AS s, {shifted(alpha, 0, 0)} AS own)"
     value = "CASE WHEN t.own <= 0 OR t.s <= 0 THEN CAST(0 AS FLOAT) ELSE greatest(CAST(0 AS FLOAT), least(t.own, CAST(t.c / t.s * CAST(t.own AS DOUBLE) AS FLOAT))) END"
-    return F.expr(f"transform(transform(sequence(0, width * height - 1), i -> {sums}), t -> {value})")
+    return f"transform({_pixels(sums)}, t -> {value})"
+
+
+def local_min(plane: str) -> Column:
+    return F.expr(_low(plane))
+
+
+def local_max(plane: str) -> Column:
+    return F.expr(_high(plane))
+
+
+def local_mean(plane: str, alpha: str | None = None) -> Column:
+    return F.expr(_mean(plane, alpha))
 
 
 def _bounded(value: str, alpha: str | None) -> str:
@@ -60,47 +86,49 @@ def _bounded(value: str, alpha: str | None) -> str:
     return f"greatest(CAST(0 AS FLOAT), least({top}, {value}))"
 
 
+def _denoised(plane: str, mean: str, strength: float, alpha: str | None) -> str:
+    own = shifted(plane, 0, 0)
+    return _pixels(_bounded(f"CAST({own} + CAST({strength} AS FLOAT) * (get({mean}, i) - {own}) AS FLOAT)", alpha))
+
+
 def denoise(df: DataFrame, plane: str, out: str, strength: float = 0.2, alpha: str | None = None) -> DataFrame:
     """Blend of each pixel with its 3 by 3 mean; planes are float arrays."""
-    mean = weighted_mean(plane, alpha) if alpha else local_mean(plane)
-    value = f"CAST({shifted(plane, 0, 0)} + CAST({strength} AS FLOAT) * (get(_mean, i) - {shifted(plane, 0, 0)}) AS FLOAT)"
-    return df.withColumn("_mean", mean).withColumn(out, F.expr(f"transform(sequence(0, width * height - 1), i -> {_bounded(value, alpha)})")).drop("_mean")
+    return df.withColumn(out, bound({"mean": _mean(plane, alpha)}, _denoised(plane, "mean", strength, alpha)))
 
 
-def _deblock_axis(df: DataFrame, plane: str, vertical: bool, strength: float, alpha: str | None) -> DataFrame:
+def _deblocked(plane: str, vertical: bool, strength: float, alpha: str | None) -> str:
+    """One axis; reads the bound names plane, low and high."""
     place, size = ("i % width", "width") if vertical else ("i DIV width", "height")
     dx, dy = (1, 0) if vertical else (0, 1)
     own, after, before = shifted(plane, 0, 0), shifted(plane, dx, dy), shifted(plane, -dx, -dy)
-    df = df.withColumn("_low", local_min(plane)).withColumn("_high", local_max(plane))
 
-    def pulled(left: str, right: str, mine: str) -> str:
-        move = f"CAST({mine} + CAST({strength} AS FLOAT) * CAST(0.5 AS FLOAT) * (CAST(0.5 AS FLOAT) * ({left} + {right}) - {mine}) AS FLOAT)"
-        inner = _bounded(f"greatest(get(_low, i), least(get(_high, i), {move}))", alpha)
-        return f"CASE WHEN abs({right} - {left}) > CAST({JUMP} AS FLOAT) THEN {mine} ELSE {inner} END"
+    def pulled(left: str, right: str) -> str:
+        move = f"CAST({own} + CAST({strength} AS FLOAT) * CAST(0.5 AS FLOAT) * (CAST(0.5 AS FLOAT) * ({left} + {right}) - {own}) AS FLOAT)"
+        inner = _bounded(f"greatest(get(low, i), least(get(high, i), {move}))", alpha)
+        return f"CASE WHEN abs({right} - {left}) > CAST({JUMP} AS FLOAT) THEN {own} ELSE {inner} END"
 
-    value = (
+    return _pixels(
         f"CASE WHEN {size} < 3 THEN {own} "
-        f"WHEN {place} % {BLOCK} = {BLOCK - 1} AND {place} + 1 < {size} THEN {pulled(own, after, own)} "
-        f"WHEN {place} % {BLOCK} = 0 AND {place} > 0 THEN {pulled(before, own, own)} ELSE {own} END"
+        f"WHEN {place} % {BLOCK} = {BLOCK - 1} AND {place} + 1 < {size} THEN {pulled(own, after)} "
+        f"WHEN {place} % {BLOCK} = 0 AND {place} > 0 THEN {pulled(before, own)} ELSE {own} END"
     )
-    return df.withColumn(plane, F.expr(f"transform(sequence(0, width * height - 1), i -> {value})")).drop("_low", "_high")
 
 
 def deblock(df: DataFrame, plane: str, strength: float = 0.15, alpha: str | None = None) -> DataFrame:
     """Pull both sides of block boundaries together: columns first, then rows of the result."""
     if strength <= 0:
         return df
-    return _deblock_axis(_deblock_axis(df, plane, True, strength, alpha), plane, False, strength, alpha)
+    for vertical in (True, False):
+        df = df.withColumn(plane, bound({"own": plane, "low": _low("own"), "high": _high("own")}, _deblocked("own", vertical, strength, alpha)))
+    return df
 
 
 def restore(df: DataFrame, plane: str, out: str, denoise_strength: float = 0.2, deblock_strength: float = 0.15, sharpen_strength: float = 0.15, alpha: str | None = None) -> DataFrame:
     """Denoise, deblock, sharpen; sharpened values stay within the source's local range and the alpha."""
     df = deblock(denoise(df, plane, "_base", denoise_strength, alpha), "_base", deblock_strength, alpha)
-    mean = weighted_mean("_base", alpha) if alpha else local_mean("_base")
-    df = df.withColumn("_mean", mean).withColumn("_low", local_min(plane)).withColumn("_high", local_max(plane))
-    sharp = f"CAST(get(_base, i) + CAST({sharpen_strength} AS FLOAT) * (get(_base, i) - get(_mean, i)) AS FLOAT)"
-    value = _bounded(f"greatest(get(_low, i), least(get(_high, i), {sharp}))", alpha)
-    return df.withColumn(out, F.expr(f"transform(sequence(0, width * height - 1), i -> {value})")).drop("_base", "_mean", "_low", "_high")
+    sharp = f"CAST(get(base, i) + CAST({sharpen_strength} AS FLOAT) * (get(base, i) - get(mean, i)) AS FLOAT)"
+    value = _pixels(_bounded(f"greatest(get(low, i), least(get(high, i), {sharp}))", alpha))
+    return df.withColumn(out, bound({"base": "_base", "mean": _mean("base", alpha), "low": _low(plane), "high": _high(plane)}, value)).drop("_base")
 
 
 def features(df: DataFrame, r: str, g: str, b: str, a: str | None = None) -> DataFrame:
@@ -111,10 +139,9 @@ def features(df: DataFrame, r: str, g: str, b: str, a: str | None = None) -> Dat
     df = df.withColumn("valid", F.expr(f"width > 0 AND height > 0 AND {sound}"))
     lum = f"0.2126D * CAST({at(r)} AS DOUBLE) + 0.7152D * CAST({at(g)} AS DOUBLE) + 0.0722D * CAST({at(b)} AS DOUBLE)"
     cell = lambda p: f"least(7, CAST({at(p)} * 8 AS INT))"
-    df = df.withColumn("_lum", F.expr(f"transform(sequence(0, width * height - 1), i -> {lum})"))
     df = df.withColumn("_bins", F.expr(f"size(array_distinct(transform(sequence(0, width * height - 1), i -> {cell(r)} * 64 + {cell(g)} * 8 + {cell(b)})))"))
     steps = lambda p, kind: f"flatten(transform(sequence(0, width * height - 1), i -> array({', '.join(f'abs({at(p)} - {shifted(p, dx, dy)})' for dx, dy in ((-1, 0), (0, -1)))})))"
-    df = df.withColumn("_steps", F.expr(f"filter({steps('_lum', 'DOUBLE')}, d -> d IS NOT NULL)"))
+    df = df.withColumn("_steps", bound({"light": _pixels(lum)}, f"filter({steps('light', 'DOUBLE')}, d -> d IS NOT NULL)"))
     alpha = f"size(filter({steps(a, 'DOUBLE')}, d -> d IS NOT NULL AND d >= {ALPHA_STEP}D))" if a else "0"
     df = df.withColumn("_alpha", F.expr(alpha))
     n = F.greatest(F.lit(1), F.size("_steps")).cast("double")
@@ -127,7 +154,7 @@ def features(df: DataFrame, r: str, g: str, b: str, a: str | None = None) -> Dat
             "texture_energy": F.least(F.lit(1.0), F.sqrt(squares / n) * 2),
             "alpha_transition_ratio": F.col("_alpha") / n,
         }
-    ).drop("_lum", "_bins", "_steps", "_alpha")
+    ).drop("_bins", "_steps", "_alpha")
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -151,7 +178,7 @@ def classify(df: DataFrame) -> DataFrame:
 
 
 def super_resolve(df: DataFrame, plane: str, out: str, scale: int = 2, alpha: str | None = None) -> DataFrame:
-    """Half-pixel bilinear enlargement, kept within its four sources and under the interpolated alpha; sets width and height."""
+    """Half-pixel bilinear enlargement, kept within its four sources and under the interpolated alpha; `out` is scale times as wide and high."""
     if scale not in (2, 4):
         raise ValueError("scale is 2 or 4")
     place = lambda i, n: f"greatest(CAST(0 AS FLOAT), least(CAST({n} - 1 AS FLOAT), CAST((CAST({i} AS FLOAT) + CAST(0.5 AS FLOAT)) / CAST({scale} AS FLOAT) - CAST(0.5 AS FLOAT) AS FLOAT)))"

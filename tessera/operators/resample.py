@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.neighbourhood import bound
+
 SUPPORT = {"bilinear": 1.0, "bicubic": 2.0, "lanczos3": 3.0}
 _TINY = 1e-15
 
@@ -116,11 +118,10 @@ def resize_plane(df: DataFrame, plane: str, out: str, source: tuple[int, int], t
         return df.withColumn(out, F.col(plane))
     across, down = taps(w, tw, name), taps(h, th, name)
     literal = lambda table: "array(" + ", ".join("array(" + ", ".join(f"struct({p} AS p, {x!r}D AS w)" for p, x in row) + ")" for row in table) + ")"
-    df = df.withColumns({"_across": F.expr(literal(across)), "_down": F.expr(literal(down))})
-    first = f"aggregate(get(_across, i % {tw}), 0D, (s, t) -> s + CAST(get({plane}, (CAST(i DIV {tw} AS INT)) * {w} + t.p) AS DOUBLE) * t.w)"
-    df = df.withColumn("_wide", F.expr(f"transform(sequence(0, {tw * h - 1}), i -> CAST({first} AS FLOAT))"))
-    second = f"CAST(aggregate(get(_down, CAST(i DIV {tw} AS INT)), 0D, (s, t) -> s + CAST(get(_wide, t.p * {tw} + i % {tw}) AS DOUBLE) * t.w) AS FLOAT)"
+    first = f"aggregate(get(across, i % {tw}), 0D, (s, t) -> s + CAST(get({plane}, (CAST(i DIV {tw} AS INT)) * {w} + t.p) AS DOUBLE) * t.w)"
+    wide = f"transform(sequence(0, {tw * h - 1}), i -> CAST({first} AS FLOAT))"
+    value = f"CAST(aggregate(get(down, CAST(i DIV {tw} AS INT)), 0D, (s, t) -> s + CAST(get(wide, t.p * {tw} + i % {tw}) AS DOUBLE) * t.w) AS FLOAT)"
     if clamp:
-        spread = f"flatten(transform(get(_down, CAST(i DIV {tw} AS INT)), v -> transform(get(_across, i % {tw}), u -> get({plane}, v.p * {w} + u.p))))"
-        second = f"greatest(array_min({spread}), least(array_max({spread}), {second}))"
-    return df.withColumn(out, F.expr(f"transform(sequence(0, {tw * th - 1}), i -> {second})")).drop("_across", "_down", "_wide")
+        spread = f"flatten(transform(get(down, CAST(i DIV {tw} AS INT)), v -> transform(get(across, i % {tw}), u -> get({plane}, v.p * {w} + u.p))))"
+        value = f"greatest(array_min({spread}), least(array_max({spread}), {value}))"
+    return df.withColumn(out, bound({"across": literal(across), "down": literal(down), "wide": wide}, f"transform(sequence(0, {tw * th - 1}), i -> {value})"))

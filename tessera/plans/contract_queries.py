@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -285,7 +285,7 @@ def _check(record: Record, validate, extra: dict[str, str] | None = None, source
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = table(spark, d, source).select(F.expr(f"CAST({key} AS BIGINT)").alias("key"))
-        rows = rows.select("key", F.expr(record.struct("key")).alias("x"), *[F.expr(v).alias(n) for n, v in (extra or {}).items()])
+        rows = rows.select("key", F.expr(record.struct("key")).alias("rec"), *[F.expr(v).alias(n) for n, v in (extra or {}).items()])
         return rows.select("key", validate().alias("error"))
 
     return query, f"SELECT {key}::BIGINT AS key, {record.expected(key)} FROM {source}"
@@ -294,24 +294,24 @@ def _check(record: Record, validate, extra: dict[str, str] | None = None, source
 _REL = (RELEASE, VERSION, API)
 _REQ, _ART = {"o": _SOURCE}, {"o": _SOURCE, "r": Record(REQUEST.base).struct("1")}
 _PAIRS = {
-    "image_spec_validate": _check(SPEC, lambda: records.image_spec("x"), source="part", key="p_partkey"),
-    "decode_limits_validate": _check(LIMITS, lambda: records.decode_limits("x"), source="part", key="p_partkey"),
-    "export_request_validate": _check(REQUEST, lambda: records.export_request("x", "o"), _REQ),
-    "export_artifact_validate": _check(ARTIFACT, lambda: records.export_artifact("r", "o", "x"), _ART),
-    "export_destination_validate": _check(DESTINATION, lambda: records.export_destination("x", "a"), {"a": Record(ARTIFACT.base).struct("1")}),
-    "certificate_validate": _check(CERTIFICATE, lambda: records.quality_certificate("x", "r", "o", "a"), _ART | {"a": Record(ARTIFACT.base).struct("1")}),
-    "api_request_validate": _check(ENVELOPE, lambda: records.request_envelope("x", API)),
-    "api_certified_validate": _check(CERTIFIED, lambda: records.certified_request("x", "c", API), {"c": _CERT}),
-    "hybrid_plan_validate": _check(PLAN, lambda: records.hybrid_plan("x")),
-    "hybrid_output_validate": _check(OUTPUT, lambda: records.hybrid_output("p", "x"), {"p": Record(PLAN.base).struct("1")}),
-    "training_run_validate": _check(RUN, lambda: records.training_run("x")),
-    "benchmark_validate": _check(BENCH, lambda: records.benchmark_result("x", "a"), {"a": "encode('artifact', 'UTF-8')"}),
-    "ml_execution_validate": _check(CONTRACT, lambda: records.execution_contract("x")),
-    "ml_runtime_load": _check(RECEIPT, lambda: records.runtime_load("x", "x.artifact", BACKEND)),
-    "release_manifest_validate": _check(MANIFEST, lambda: records.release_manifest("x", *_REL), source="supplier", key="s_suppkey"),
-    "package_inventory_validate": _check(INVENTORIES, lambda: records.inventory("x", INVENTORY), source="supplier", key="s_suppkey"),
+    "image_spec_validate": _check(SPEC, lambda: records.image_spec("rec"), source="part", key="p_partkey"),
+    "decode_limits_validate": _check(LIMITS, lambda: records.decode_limits("rec"), source="part", key="p_partkey"),
+    "export_request_validate": _check(REQUEST, lambda: records.export_request("rec", "o"), _REQ),
+    "export_artifact_validate": _check(ARTIFACT, lambda: records.export_artifact("r", "o", "rec"), _ART),
+    "export_destination_validate": _check(DESTINATION, lambda: records.export_destination("rec", "a"), {"a": Record(ARTIFACT.base).struct("1")}),
+    "certificate_validate": _check(CERTIFICATE, lambda: records.quality_certificate("rec", "r", "o", "a"), _ART | {"a": Record(ARTIFACT.base).struct("1")}),
+    "api_request_validate": _check(ENVELOPE, lambda: records.request_envelope("rec", API)),
+    "api_certified_validate": _check(CERTIFIED, lambda: records.certified_request("rec", "c", API), {"c": _CERT}),
+    "hybrid_plan_validate": _check(PLAN, lambda: records.hybrid_plan("rec")),
+    "hybrid_output_validate": _check(OUTPUT, lambda: records.hybrid_output("p", "rec"), {"p": Record(PLAN.base).struct("1")}),
+    "training_run_validate": _check(RUN, lambda: records.training_run("rec")),
+    "benchmark_validate": _check(BENCH, lambda: records.benchmark_result("rec", "a"), {"a": "encode('artifact', 'UTF-8')"}),
+    "ml_execution_validate": _check(CONTRACT, lambda: records.execution_contract("rec")),
+    "ml_runtime_load": _check(RECEIPT, lambda: records.runtime_load("rec", "rec.artifact", BACKEND)),
+    "release_manifest_validate": _check(MANIFEST, lambda: records.release_manifest("rec", *_REL), source="supplier", key="s_suppkey"),
+    "package_inventory_validate": _check(INVENTORIES, lambda: records.inventory("rec", INVENTORY), source="supplier", key="s_suppkey"),
     "package_contents_exact_set": _check(
-        SEEN, lambda: records.package_contents("m", "v", "x.entries", _REL, INVENTORY), {"m": _GOOD_MANIFEST.struct("1"), "v": Record(INVENTORIES.base).struct("1")}, "supplier", "s_suppkey"
+        SEEN, lambda: records.package_contents("m", "v", "rec.entries", _REL, INVENTORY), {"m": _GOOD_MANIFEST.struct("1"), "v": Record(INVENTORIES.base).struct("1")}, "supplier", "s_suppkey"
     ),
 }
 
@@ -466,12 +466,12 @@ DUPLICATE_LEAKAGE = "SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n, mi
 
 def tensor_shape(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.expr("CASE p_partkey % 5 WHEN 0 THEN slice(array(1), 1, 0) WHEN 1 THEN array_repeat(1, 9) WHEN 2 THEN array(p_size, 0, 3) WHEN 3 THEN array(p_size * 10000, 10000) ELSE array(p_size, 3, 8, 8) END").alias("dims"))
-    return rows.select("key", records.tensor_shape("dims").alias("error"), F.when(records.tensor_shape("dims") == "None", F.expr(records.elements("dims"))).alias("elements"))
+    return rows.select("key", records.tensor_shape("dims").alias("error"), F.when(records.tensor_shape("dims") == "None", F.expr(records.elements("dims"))).otherwise(0).alias("elements"))
 
 
 TENSOR_SHAPE = """
 SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN 'InvalidTensorRank' WHEN 1 THEN 'InvalidTensorRank' WHEN 2 THEN 'ZeroTensorExtent' WHEN 3 THEN CASE WHEN p_size * 100000000::BIGINT > 67108864 THEN 'TensorBudgetExceeded' ELSE 'None' END ELSE 'None' END AS error,
-       CASE WHEN p_partkey % 5 = 4 THEN p_size * 192 END::BIGINT AS elements FROM part
+       CASE WHEN p_partkey % 5 = 4 THEN p_size * 192 ELSE 0 END::BIGINT AS elements FROM part
 """
 
 
@@ -520,7 +520,7 @@ def text_predicates(spark: SparkSession, d: str) -> DataFrame:
 TEXT_PREDICATES = r"""
 WITH q AS (SELECT page_id AS key, url, split_part(url, '://', -1) AS p FROM pages)
 SELECT key, key % 2 <> 0 AS lower_sha, true AS any_sha, key % 3 = 0 AS breaks, key % 4 <> 0 AS is_token,
-       contains(p, ':') OR contains(p, '\') OR len(list_filter(string_split(p, '/'), x -> x IN ('', '.', '..'))) > 0 AS unsafe FROM q
+       contains(p, ':') OR contains(p, '\') OR len(list_filter(string_split(p, '/'), lambda x: x IN ('', '.', '..'))) > 0 AS unsafe FROM q
 """
 
 
@@ -562,6 +562,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in (_PAIRS | _MORE).items() if sql}
-
-
-_ = Column

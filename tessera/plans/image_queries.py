@@ -65,8 +65,8 @@ def color_bins(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(f"v.{n}") for n in "rgb"]
     u = [x / 255.0 for x in c]
     cover = F.when(F.max(F.when(F.col("v.a") != 255, 1).otherwise(0)).over(_by_image()) == 1, F.col("v.a")).otherwise(pixel.dark_coverage(*c))
-    rows = rows.select("image_id", pixel.color_bin(*u).alias("bin"), pixel.color_key(*c).alias("key"), cover.alias("cover"), F.round(pixel.luminance(*u), 6).alias("lum"))
-    return rows.groupBy("image_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least_key"), F.sum(F.when(pixel.is_foreground(F.col("cover")), 1).otherwise(0)).alias("n_fg"), F.round(F.max("lum"), 5).alias("max_lum"))
+    rows = rows.select("image_id", pixel.color_bin(*u).alias("bin"), pixel.color_key(*c).alias("key"), cover.alias("cover"), pixel.luminance(*u).alias("lum"))
+    return rows.groupBy("image_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least_key"), F.sum(F.when(pixel.is_foreground(F.col("cover")), 1).otherwise(0)).alias("n_fg"), F.round(F.max("lum"), 4).alias("max_lum"))
 
 
 def _by_image():
@@ -79,8 +79,8 @@ COLOR_BINS = f"""
 WITH {RGBA_SQL}, v AS (
   SELECT image_id, least(7, floor(r / 255.0 * 8)) * 64 + least(7, floor(g / 255.0 * 8)) * 8 + least(7, floor(b / 255.0 * 8)) AS bin, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS k,
          CASE WHEN max((a <> 255)::INT) OVER (PARTITION BY image_id) = 1 THEN a WHEN 54 * r + 183 * g + 19 * b < 32768 THEN 255 ELSE 0 END AS cover,
-         round((0.2126 * r / 255.0 + 0.7152 * g / 255.0 + 0.0722 * b / 255.0)::DOUBLE, 6) AS lum FROM px)
-SELECT image_id, bin::INT AS bin, count(*) AS n, min(k) AS least_key, sum((cover >= 128)::INT)::BIGINT AS n_fg, round(max(lum), 5) AS max_lum FROM v GROUP BY image_id, bin
+         0.2126::DOUBLE * r / 255 + 0.7152::DOUBLE * g / 255 + 0.0722::DOUBLE * b / 255 AS lum FROM px)
+SELECT image_id, bin::INT AS bin, count(*) AS n, min(k) AS least_key, sum((cover >= 128)::INT)::BIGINT AS n_fg, round(max(lum), 4) AS max_lum FROM v GROUP BY image_id, bin
 """
 
 
@@ -127,11 +127,11 @@ def mask_edges(spark: SparkSession, d: str) -> DataFrame:
 
 _EDGES = f"""
 {GRAY_SQL}, e AS (
-  SELECT p.image_id, x + s.ax AS ax, y + s.ay AS ay, x + s.bx AS bx, y + s.by AS by
-  FROM px p CROSS JOIN (VALUES (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)) s(dx, dy, ax, ay, bx, by)
+  SELECT p.image_id, x + s.ax AS ax, y + s.ay AS ay, x + s.bx AS bx, y + s.b_y AS b_y
+  FROM px p CROSS JOIN (VALUES (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)) s(dx, dy, ax, ay, bx, b_y)
   WHERE cov >= 128 AND NOT EXISTS (SELECT 1 FROM px q WHERE q.image_id = p.image_id AND q.x = p.x + s.dx AND q.y = p.y + s.dy AND q.cov >= 128)
 )"""
-MASK_EDGES = f"WITH {_EDGES} SELECT image_id, ax::INT AS ax, ay::INT AS ay, bx::INT AS bx, by::INT AS by FROM e"
+MASK_EDGES = f'WITH {_EDGES} SELECT image_id, ax::INT AS ax, ay::INT AS ay, bx::INT AS bx, b_y::INT AS "by" FROM e'
 
 
 def mask_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def mask_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 MASK_ROUNDTRIP = f"""
 WITH {_EDGES}, drawn AS (
-  SELECT p.image_id, p.x, p.y, p.cov, (SELECT count(*) FROM e WHERE e.image_id = p.image_id AND least(ay, by) <= p.y AND greatest(ay, by) > p.y AND ay <> by AND p.x + 0.5 < ax) % 2 AS inside FROM px p
+  SELECT p.image_id, p.x, p.y, p.cov, (SELECT count(*) FROM e WHERE e.image_id = p.image_id AND least(ay, b_y) <= p.y AND greatest(ay, b_y) > p.y AND ay <> b_y AND p.x + 0.5 < ax) % 2 AS inside FROM px p
 ), n AS (SELECT image_id, count(*) AS n_edges FROM e GROUP BY image_id)
 SELECT image_id, coalesce(any_value(n_edges), 0) AS n_edges, sum((cov >= 128 AND inside = 1)::INT)::BIGINT AS both, sum((cov >= 128 OR inside = 1)::INT)::BIGINT AS either,
        CASE WHEN sum((cov >= 128 OR inside = 1)::INT) = 0 THEN 1.0 ELSE sum((cov >= 128 AND inside = 1)::INT) / sum((cov >= 128 OR inside = 1)::INT)::DOUBLE END AS iou
@@ -295,9 +295,9 @@ def super_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 SUPER_RESOLVE = f"""
 WITH {GRAY_SQL}, t AS (SELECT x, y, greatest(0, least(7, (x + 0.5) / 2 - 0.5))::DOUBLE AS sx, greatest(0, least(7, (y + 0.5) / 2 - 0.5))::DOUBLE AS sy FROM range(16) a(x), range(16) b(y)),
-u AS (SELECT x, y, floor(sx) AS x0, least(7, floor(sx) + 1) AS x1, floor(sy) AS y0, least(7, floor(sy) + 1) AS y1, sx - floor(sx) AS tx, sy - floor(sy) AS ty FROM t)
-SELECT a.image_id, (u.y * 16 + u.x)::INT AS p, round(((a.l + tx * (b.l - a.l)) + ty * ((c.l + tx * (e.l - c.l)) - (a.l + tx * (b.l - a.l))))::FLOAT::DOUBLE, 4) AS v
-FROM u JOIN px a ON a.x = x0 AND a.y = y0 JOIN px b ON b.image_id = a.image_id AND b.x = x1 AND b.y = y0 JOIN px c ON c.image_id = a.image_id AND c.x = x0 AND c.y = y1 JOIN px e ON e.image_id = a.image_id AND e.x = x1 AND e.y = y1
+u AS (SELECT x, y, floor(sx) AS x0, least(7, floor(sx) + 1) AS x1, floor(sy) AS y0, least(7, floor(sy) + 1) AS y1, (sx - floor(sx))::FLOAT AS tx, (sy - floor(sy))::FLOAT AS ty FROM t), f AS (SELECT image_id, x, y, l::FLOAT AS f FROM px)
+SELECT a.image_id, (u.y * 16 + u.x)::INT AS p, round(greatest(least(a.f, b.f, c.f, e.f), least(greatest(a.f, b.f, c.f, e.f), (a.f + tx * (b.f - a.f)) + ty * ((c.f + tx * (e.f - c.f)) - (a.f + tx * (b.f - a.f)))))::DOUBLE, 4) AS v
+FROM u JOIN f a ON a.x = x0 AND a.y = y0 JOIN f b ON b.image_id = a.image_id AND b.x = x1 AND b.y = y0 JOIN f c ON c.image_id = a.image_id AND c.x = x0 AND c.y = y1 JOIN f e ON e.image_id = a.image_id AND e.x = x1 AND e.y = y1
 """
 
 
