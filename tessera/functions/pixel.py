@@ -38,8 +38,8 @@ def unpremultiply(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 
 def unit_to_u8(v: Column) -> Column:
-    """Rounded half up by truncation."""
-    return (clamp_unit(v) * 255 + 0.5).cast("int")
+    """Rounded half up by truncation; null for NaN."""
+    return F.when(~F.isnan(v), (clamp_unit(v) * 255 + 0.5)).cast("int")
 
 
 def unpremultiply_u8(v: Column, a: Column) -> Column:

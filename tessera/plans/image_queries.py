@@ -423,9 +423,9 @@ def gated_simplify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _logos(spark: SparkSession, d: str) -> DataFrame:
-    """32 by 32 opaque images: light ground, a dark block whose place and colour follow the part's key."""
+    """32 by 32 opaque images: light ground, two dark blocks whose place and colour follow the part's key."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 11).cast("int").alias("k"), F.col("p_size").alias("s"))
-    dark = "i % 32 >= 3 + k AND i % 32 < 20 + k AND i DIV 32 >= 5 AND i DIV 32 < 24"
+    dark = "i % 32 >= 3 + k AND i % 32 < 20 + k AND NOT (i % 32 >= 9 + k AND i % 32 < 13 + k) AND i DIV 32 >= 5 AND i DIV 32 < 24"
     px = f"transform(sequence(0, 1023), i -> CASE WHEN {dark} THEN concat(lpad(hex(20 + k * 3), 2, '0'), '14', lpad(hex(s % 60), 2, '0'), 'FF') ELSE 'FFFFFFFF' END)"
     return rows.select("image_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.unhex(F.array_join(F.expr(px), "")).alias("rgba"))
 

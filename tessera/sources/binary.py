@@ -26,7 +26,10 @@ def format_of(content: Column) -> Column:
 
 
 def load(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
-    """(path, length, format, content, error) of the files under a path; files over the limit aren't read."""
+    """(path, length, format, content, error) of the files under a path; files over the limit aren't read.
+
+    Spark's scan passes over files without any bytes; rows of other origin get EmptyFile from checked().
+    """
     files = spark.read.format("binaryFile").load(path)
     fits = files.where(F.col("length") <= most).select("path", "length", "content")
     large = files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
