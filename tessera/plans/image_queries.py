@@ -399,9 +399,9 @@ def alpha_composite(spark: SparkSession, d: str) -> DataFrame:
 ALPHA_COMPOSITE = f"""
 WITH {RGBA_SQL}, v AS (SELECT image_id, p, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, CASE WHEN image_id % 10 = 0 THEN 0 ELSE a / 255.0::DOUBLE END AS a FROM px WHERE p < 3),
 w AS (SELECT image_id, min(p) FILTER (a = 0 AND (r <> 0 OR g <> 0 OR b <> 0)) AS bad, {', '.join(f'max({c}) FILTER (p = {k}) AS {c}{k}' for k in range(3) for c in 'rgba')} FROM v GROUP BY image_id),
-x AS (SELECT *, a2 + (a1 + a0 * (1 - a1)) * (1 - a2) AS oa, {', '.join(f'{c}2 * a2 + ({c}1 * a1 + {c}0 * a0 * (1 - a1)) * (1 - a2) AS o{c}' for c in 'rgb')} FROM w)
+x AS (SELECT *, a2 + (a1 + a0 * (1 - a1)) * (1 - a2) AS oa, {', '.join(f'{c}2 * a2 + ({c}1 * a1 + {c}0 * a0 * (1 - a1)) * (1 - a2) AS v{c}' for c in 'rgb')} FROM w)
 SELECT image_id, CASE WHEN bad IS NULL THEN 'None' ELSE 'HiddenRgbInTransparentPixel' END AS error, coalesce(bad, -1)::INT AS layer,
-       {', '.join(f'CASE WHEN bad IS NULL THEN round(CASE WHEN oa > 0 THEN o{c} / oa ELSE 0 END, 6) END AS {c}' for c in 'rgb')}, CASE WHEN bad IS NULL THEN round(oa, 6) END AS a FROM x
+       {', '.join(f'CASE WHEN bad IS NULL THEN round(CASE WHEN oa > 0 THEN v{c} / oa ELSE 0 END, 6) END AS {c}' for c in 'rgb')}, CASE WHEN bad IS NULL THEN round(oa, 6) END AS a FROM x
 """
 
 
