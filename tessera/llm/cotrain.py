@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents to learn from, at most about.
-LABELLED, UNLABELLED = 6000, 6000
+LABELLED, UNLABELLED = 5000, 4000
 #: Hashed words; values of the metadata view.
-WORD_BINS, META_BINS = 4096, 128
+WORD_BINS, META_BINS = 2048, 128
 #: Rounds of exchange, and the share of the unlabelled documents that a view labels for the other in each, by class.
 ROUNDS, SHARE = 3, 0.05
 #: From which score a document is kept.
@@ -177,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     width = WORD_BINS + _SIGNS + 2
     x = np.stack([np.frombuffer(r.views, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, width + META_BINS), np.float32)
     y = np.array([-1 if r.good is None else r.good for r in rows], np.float32)
+    del rows  # the driver holds the sample once
     order = np.lexsort((x[:, -1], x[:, width - 2] if len(x) else x[:, 0], y))  # the same order however rows came
     x, y = x[order], y[order]
     own = y >= 0
