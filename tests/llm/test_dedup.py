@@ -108,6 +108,23 @@ def test_alignment_like_the_full_table():
                 assert min(order_minhash._banded(x, y, most), most + 1) == min(d, most + 1)
 
 
+def test_chains_settle_only_what_alignment_would():
+    rnd = random.Random(6)
+    settled = 0
+    for _ in range(300):
+        size = rnd.choice([3, 40, 1000])
+        a = [rnd.randrange(size) for _ in range(rnd.randint(65, 120))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 30)):
+            k = rnd.randrange(len(b))
+            b[k : k + rnd.randint(0, 1)] = [rnd.randrange(size)] * rnd.randint(0, 1)
+        x, y, d, longer = np.array(a, np.uint32), np.array(b, np.uint32), full_distance(a, b), max(len(a), len(b))
+        assert order_minhash._chained(x, y) >= d
+        settled += order_minhash._chained(x, y) <= int(0.2 * longer + 1e-9)
+        assert order_minhash.similar(x, y) == (d <= int(0.2 * longer + 1e-9))
+    assert settled > 50
+
+
 def test_sketches_follow_order():
     words = [f"w{i}".encode() for i in range(300)]
     turned = words[150:] + words[:150]
