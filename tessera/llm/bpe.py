@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a cache generation; two generations are kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 #: Texts are taken together until they hold so many characters, and their new matches are merged side by side.
 GROUP_CHARS = 2_000_000
 
