@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Base rules report strong secrets by themselves: assigned values, access identifiers and long hexadecimal runs. Weak
-candidates are not worth a report alone: short or split identifiers, high-entropy runs, assigned short values, hosts and
-addresses. Scopes are stretches of text between blank lines, at most SCOPE characters apart. Within a scope an interval
+candidates are not worth a report alone: short or split identifiers, high-entropy runs (20 to 64 characters of mixed
+kinds, outside urls and named values), assigned short values, hosts and addresses. Scopes are stretches of text between blank lines, at most SCOPE characters apart. Within a scope an interval
 join brings together parts of three roles (identifier, secret, endpoint); a weak candidate is reported only if a part
 of another role, weak or strong, lies within REACH characters of it, and a secret or an identifier is among them.
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,7 @@ KINDS = ["assign", "access", "hex", "weak_identifier", "weak_secret", "weak_endp
 #: Weak candidates by role. Words of prose match none of them.
 IDENTIFIER = re.compile(r"""\b(?:client_?id|access_?key(?:_?id)?|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{4,}""", re.I | re.A)
 SECRET = re.compile(r"""\b(?:client_?secret|private_?key|auth|bearer|pwd|pass)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.I | re.A)
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|jdbc:\w+|postgres|mysql|redis|mongodb|amqp|s3)://[A-Za-z0-9.:@/_%-]{4,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.A)
 _BREAK = re.compile(r"\n[ \t]*\n")
 _WORDS = ("passw", "secret", "token", "api")
@@ -64,6 +66,18 @@ def _mixed(run: str) -> bool:
     return sum(c.isdigit() for c in run) > 1 and sum(c.islower() for c in run) > 1 and sum(c.isupper() for c in run) > 1
 
 
+def _overlap(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Tells whether an interval overlaps any of the spans: the furthest end of those that begin before its own end."""
+    spans = sorted(spans)
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def inside(a: int, b: int) -> bool:
+        at = bisect_left(starts, b)
+        return at > 0 and ends[at - 1] > a
+
+    return inside
+
+
 def weak_spans(text: str, low: str) -> list[Span]:
     """Candidates that are reported only with a part of another role."""
     found: list[Span] = []
@@ -72,8 +86,12 @@ def weak_spans(text: str, low: str) -> list[Span]:
         found += [("weak_secret", *m.span()) for m in SECRET.finditer(text)]
     if any(w in low for w in _WORDS):
         found += [("weak_secret", *m.span()) for m in ASSIGN.finditer(text) if 6 <= len(m[2]) < ASSIGN_LEAST]
-    found += [("weak_identifier", *m.span()) for m in ACCESS.finditer(text) if 12 <= len(m[0]) < ACCESS_LEAST] if "AKIA" in text else []
     found += [("weak_endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "." in text or "://" in text else []
+    runs = [m.span() for m in RUN.finditer(text) if _mixed(m[0])]
+    if runs:  # a run within a url or a named value is part of that candidate
+        inside = _overlap([(a, b) for _, a, b in found])
+        found += [("weak_secret", a, b) for a, b in runs if not inside(a, b)]
+    found += [("weak_identifier", *m.span()) for m in ACCESS.finditer(text) if 12 <= len(m[0]) < ACCESS_LEAST] if "AKIA" in text else []
     return found
 
 

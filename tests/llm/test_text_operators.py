@@ -112,6 +112,19 @@ def test_linking_needs_complementary_parts():
     assert [k for k, _, _ in base] == ["assign"] and [k for k, _, _ in every] == ["assign", "weak_endpoint"]
 
 
+def test_bare_keys_are_linked():
+    key = "wJa9rXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY"
+    for before, other in (("", "AKIA12345678901234"), ("", "AKIA1234567890"), ("aws_key=", "db.example.com is https://db.example.com/x"), ("", "10.0.0.1:5432")):
+        text = f"{other} {before}{key} rest"
+        at = text.index(key)
+        strong, every = credentials.scan(text)
+        assert ("weak_secret", at, at + len(key)) in every and ("weak_secret", at, at + len(key)) not in strong
+        assert key not in credentials.redacted(text, every)
+        assert credentials.scan(f"{other} and prose\n\n{key}")[1] == credentials.scan(f"{other} and prose")[1]  # another scope
+    assert credentials.scan(f"{key} alone")[1] == []
+    assert credentials.scan(f"https://example.com/{key}")[1] == [] and credentials.scan(f"client_id = {key}")[1] == []  # one part, not two
+
+
 def test_link_like_brute_force():
     rnd = random.Random(4)
     parts = ["client_id = ab12", "pwd = hunter22x", "token = abcdefghijklmnop", "10.0.0.1", "AKIA12345678901234", "\n\n", "prose words " * 8, "login: somebody"]
