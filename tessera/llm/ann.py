@@ -120,18 +120,20 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _nearest(key: tuple, queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of a block for each of its queries."""
+    """The k nearest ids of a block for each of its queries."""
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     if queries.num_rows and rows.num_rows:
         order = np.argsort(rows["id"].to_numpy(), kind="stable")
         ids, x = rows["id"].to_numpy()[order], _matrix(rows["vec"].combine_chunks())[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids = ids[first]
         asked, q = queries["id"].to_numpy(), _matrix(queries["vec"].combine_chunks())
         for i in range(len(asked)):
-            d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+            d = np.minimum.reduceat(np.sqrt(((x - q[i]) ** 2).sum(axis=1)), first)  # rows with the same id are one
             d[ids == asked[i]] = np.inf
             few = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) > k else np.arange(len(d))
             few = few[np.isfinite(d[few])]
-            few = few[np.argsort(d[few], kind="stable")][:k]  # rows stand by id, so ties go to smaller ids
+            few = few[np.argsort(d[few], kind="stable")][:k]  # ids ascend, so ties go to smaller ids
             out["query_id"] += [int(asked[i])] * len(few)
             out["vec_id"] += ids[few].tolist()
             out["score"] += d[few].tolist()

@@ -230,6 +230,21 @@ def test_equal_vectors_tie_to_smaller_ids(spark):
     assert [r.vec_id for r in rows] == list(range(1, 11)) and {r.score for r in rows} == {0.0}
 
 
+def test_repeated_rows_are_one_neighbour(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(12 if i % 10 == 1 else 2)] + [(7, (x[0] + 9).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, (ann.F.col("id") % 20) == 0).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(found) == 3
+    for i, own in found.items():
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert own == np.argsort(d, kind="stable")[:10].tolist()
+
+
 # Quality
 
 
