@@ -13,8 +13,8 @@ removed intervals of each document come back to it by its key.
   neighbours in each) isn't held in memory: it streams its windows, as 128-bit codes, to a grouped minimum instead,
   which combines before its shuffle and is spread over all windows.
 
-Keys are the document's id and 16 bits of a hash of its text, so that rows with equal ids are kept apart. Rows with a null id or
-text are neither references nor do they lose words.
+Keys are the document's id and a 64-bit hash of its text, so that rows with equal ids are kept apart. Rows with a null
+id or text are neither references nor do they lose words.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def _unpacked(block: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-_META = [np.uint64, np.int32, np.int32, np.int32, np.int32, np.int64, np.uint16]
+_META = [np.uint64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
 _FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -152,6 +152,7 @@ _ARROW = pa.schema(
 
 def _requests(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], n: int, m: int, buckets: int) -> Iterator[tuple]:
     """(bucket, meta, words, local answers) for a group of documents."""
+    hashes = hashes.astype(np.int64)  # as wide as it is read
     words: list[bytes] = []
     ends = []
     for text in texts:
@@ -201,7 +202,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, m: int, buckets: int) -> It
     names = ["bucket", "meta", "words"]
 
     def flush() -> pa.RecordBatch | None:
-        rows = list(_requests(np.array(ids, np.int64), np.array(hashes, np.uint16), texts, n, m, buckets))
+        rows = list(_requests(np.array(ids, np.int64), np.array(hashes, np.int64), texts, n, m, buckets))
         kinds = (pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -354,13 +355,13 @@ def _match(batches: Iterator[pa.RecordBatch], n: int, matcher: Matcher) -> Itera
             if meta.is_valid:
                 yield from shard.add(meta.as_py(), words.as_py())
             else:  # answers that a task knew before the shuffle
-                of, at, size, ids, hashes = _unpacked(words.as_py(), [np.int32, np.int32, np.int32, np.int64, np.uint16])
+                of, at, size, ids, hashes = _unpacked(words.as_py(), [np.int32, np.int32, np.int32, np.int64, np.int64])
                 yield _answers(ids[of], hashes[of], at, size)
     yield from shard.answers()
 
 
 def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF))
+    return F.xxhash64(text_col)
 
 
 def removed(docs: DataFrame, matcher: Matcher, n: int, m: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

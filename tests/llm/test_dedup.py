@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from tessera.llm import order_minhash, substring_dedup, suffix_array, windows
 
@@ -69,6 +70,20 @@ def test_streamed_shards_like_brute_force(spark, monkeypatch, operator):
     assert all(c is not None for b in found for c in b.column("codes").to_pylist())
 
 
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_array])
+def test_texts_of_one_id_whose_hashes_agree_in_16_bits(spark, operator):
+    shared = " ".join(f"s{i}" for i in range(60))
+    seen = {}
+    for i in range(100_000):  # long ones hold the shared passage, short ones do not
+        for text in (f"a{i} {shared} b", f"c{i} d e"):
+            seen.setdefault(xxhash.xxh64_intdigest(text.encode(), seed=42) & 0xFFFF, {})[len(text) > 100] = text
+    long, short = next(v.values() for v in seen.values() if len(v) == 2)
+    rows = [(1, shared), (2, long), (2, short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.selectExpr("xxhash64(text) & 65535 as h").distinct().count() == 2
+    assert got(operator.deduplicated(df)) == brute(rows, operator.WINDOW)
+
+
 def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, n_words string, starts int")
     assert substring_dedup.deduplicated(df).count() == 0
