@@ -180,6 +180,21 @@ def test_near_copies_like_brute_force(spark):
     assert order_minhash.near_copies(df.limit(0)).count() == 0
 
 
+def test_rows_with_the_same_id_are_kept_apart_by_their_words(spark):
+    rnd = random.Random(12)
+    text = lambda: [f"t{rnd.randrange(5000)}" for _ in range(80)]
+    near = lambda words: " ".join([*words[:40], "other", *words[41:]])
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), (5, " ".join(d)), (6, near(b)), (7, near(c)), (8, near(d)), (9, near(a)), (5, near(a)), (10, " ".join(text()))]
+    rows += [rows[0], rows[0], rows[4], (None, rows[0][1]), (None, rows[0][1]), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.row.doc_id, r.row.text): r.class_id for r in order_minhash.near_copies(df).collect()}
+    assert found[6, near(b)] == found[7, near(c)] == found[8, near(d)] == found[5, rows[1][1]] == found[5, rows[3][1]] == 5
+    assert found[5, near(a)] == found[9, near(a)] == found[1, rows[0][1]] == 1 and found[10, rows[9][1]] == 10
+    kept = sorted(map(tuple, order_minhash.deduplicated(df).collect()), key=str)
+    assert kept == sorted([rows[0], *rows[1:4], rows[9], *rows[-3:]], key=str)
+
+
 def test_chains_of_links_are_one_class(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 105), (101, 105), (50, 60)], "a long, b long")
     found = {r.id: r.class_id for r in order_minhash.classes(links).collect()}
