@@ -195,6 +195,64 @@ def test_rows_with_the_same_id_are_kept_apart_by_their_words(spark):
     assert kept == sorted([rows[0], *rows[1:4], rows[9], *rows[-3:]], key=str)
 
 
+def test_buckets_whose_smallest_node_matches_nobody(spark):
+    """A bucket of one shared key: all links of brute force must be found, though no next sketches agree."""
+    rnd = random.Random(13)
+    texts = [[f"t{rnd.randrange(5000)}" for _ in range(60)]]
+    for _ in range(5):
+        own = [f"t{rnd.randrange(5000)}" for _ in range(60)]
+        for _ in range(6):
+            texts.append(own)
+            own = list(own)
+            for k in rnd.sample(range(60), 8):  # versions drift: neighbours are similar, the ends are not
+                own[k] = f"t{rnd.randrange(5000)}"
+    order = [0, *rnd.sample(range(1, len(texts)), len(texts) - 1)]
+    codes = [np.array([int(w[1:]) for w in texts[i]], np.uint32) for i in order]
+    want = {(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if order_minhash.similar(codes[a], codes[b])}
+    assert want and not any(a == 0 for a, _ in want)
+    rows = spark.createDataFrame([(key, i) for i in range(len(codes)) for key in (7, 8)], "bucket long, id long")
+    sizes = spark.createDataFrame([(i, 60) for i in range(len(codes))], "id long, n int")
+    asked = []
+
+    def verified(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return spark.createDataFrame([p for p in asked if p in want], "a long, b long")
+
+    none = spark.createDataFrame([], "id long, class_id long")
+    found = {r.id: r.class_id for r in order_minhash.among_classes(rows, sizes, none, verified, 0.8).collect()}
+    parent = list(range(len(codes)))
+    for _ in codes:
+        for a, b in want:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert [found.get(i, i) for i in range(len(codes))] == parent
+    assert len(set(asked)) == len(asked) and len(set(parent)) > 1
+
+
+def test_versions_that_differ_from_the_smallest_are_one_class(spark):
+    """Half of each text is shared, in one bucket; the rest differs between the smallest and the others, and drifts."""
+    rnd = random.Random(14)
+    word = lambda: f"t{rnd.randrange(5000)}"
+    shared = [word() for _ in range(75)]
+    rows = [(0, " ".join(shared + [word() for _ in range(25)]))]
+    for _ in range(6):
+        family = [word() for _ in range(25)]
+        for _ in range(5):
+            own = list(family)
+            for k in rnd.sample(range(25), 7):
+                own[k] = word()
+            rows.append((len(rows), " ".join(shared + own)))
+    codes = [np.array([int(w[1:]) for w in t.split()], np.uint32) for _, t in rows]
+    parent = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if order_minhash.similar(codes[a], codes[b]):
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.row.doc_id: r.class_id for r in order_minhash.near_copies(df).collect()}
+    assert [found[i] for i in range(len(rows))] == parent and len(set(parent)) > 1
+
+
 def test_chains_of_links_are_one_class(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 105), (101, 105), (50, 60)], "a long, b long")
     found = {r.id: r.class_id for r in order_minhash.classes(links).collect()}
