@@ -2,12 +2,12 @@
 
 Base rules report strong secrets by themselves: assigned values, access identifiers and long hexadecimal runs. Weak
 candidates are not worth a report alone: short or split identifiers, high-entropy runs (20 to 64 characters of mixed
-kinds, outside urls and named values), assigned short values, hosts and addresses. Scopes are stretches of text between blank lines, at most SCOPE characters apart. Within a scope an interval
+kinds, outside urls and named values), assigned short values, hosts and addresses. Scopes are stretches of text between blank lines. Within a scope an interval
 join brings together parts of three roles (identifier, secret, endpoint); a weak candidate is reported only if a part
 of another role, weak or strong, lies within REACH characters of it, and a secret or an identifier is among them.
 
 The join sorts the intervals of a document by place and sweeps them once, so its cost follows the number of
-candidates and links, not its square: each candidate looks only for the nearest part of each other role.
+candidates and links, not its square: of the parts of a role and scope the furthest end up to each place is kept.
 
 Defined results: a null text is scanned as the empty text; an empty text gives no spans; equal rows are scanned each;
 positions are code points with exclusive ends; other columns are ignored, whatever their names.
@@ -103,29 +103,21 @@ def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
     if not weak or len(strong) + len(weak) < 2:
         return []
     breaks = [m.start() for m in _BREAK.finditer(text)]
-    taken = sorted((a, b) for _, a, b in strong)
-    starts = [a for a, _ in taken]
-    free = []
-    for kind, a, b in weak:  # a candidate inside a strong secret is that secret
-        at = bisect_left(starts, b)
-        if not any(y > a for _, y in taken[max(0, at - 3) : at]):
-            free.append((kind, a, b))
-    by_role: dict[str, list[tuple[int, int]]] = {}
+    inside = _overlap([(a, b) for _, a, b in strong])
+    free = [(kind, a, b) for kind, a, b in weak if not inside(a, b)]  # a candidate inside a strong secret is that secret
+    by_scope: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for kind, a, b in [*strong, *free]:
-        by_role.setdefault(_ROLE[kind], []).append((a, b))
-    for parts in by_role.values():
+        by_scope.setdefault((_ROLE[kind], bisect_right(breaks, a)), []).append((a, b))
+    for parts in by_scope.values():
         parts.sort()
-    places = {role: [a for a, _ in parts] for role, parts in by_role.items()}
+    places = {of: [a for a, _ in parts] for of, parts in by_scope.items()}
+    furthest = {of: list(accumulate((b for _, b in parts), max)) for of, parts in by_scope.items()}
 
     def near(role: str, a: int, b: int) -> bool:
         """Is there a part of this role in the same scope, within reach of the interval?"""
-        parts = by_role.get(role, [])
-        scope = bisect_right(breaks, a)
-        at = bisect_left(places.get(role, []), a)
-        for x, y in (*parts[max(0, at - 1) : at], *parts[at : at + 1]):
-            if x - b <= REACH and a - y <= REACH and bisect_right(breaks, x) == scope:
-                return True
-        return False
+        of = role, bisect_right(breaks, a)
+        at = bisect_right(places.get(of, []), b + REACH)  # parts that begin in time; does one of them end late enough?
+        return at > 0 and furthest[of][at - 1] >= a - REACH
 
     need = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret", "identifier")}
     return [(kind, a, b) for kind, a, b in dict.fromkeys(free) if any(near(role, a, b) for role in need[_ROLE[kind]])]

@@ -125,6 +125,12 @@ def test_bare_keys_are_linked():
     assert credentials.scan(f"https://example.com/{key}")[1] == [] and credentials.scan(f"client_id = {key}")[1] == []  # one part, not two
 
 
+def test_nested_parts_reach_by_their_furthest_end():
+    token = "token = zz-0123456789abcdef-" + "Zq-" * 70
+    base, every = credentials.scan(f"{token} 10.0.0.1")
+    assert [k for k, _, _ in base] == ["assign", "hex"] and [k for k, _, _ in every] == ["assign", "hex", "weak_endpoint"]
+
+
 def test_link_like_brute_force():
     rnd = random.Random(4)
     parts = ["client_id = ab12", "pwd = hunter22x", "token = abcdefghijklmnop", "10.0.0.1", "AKIA12345678901234", "\n\n", "prose words " * 8, "login: somebody"]
