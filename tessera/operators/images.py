@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.operators import evidence, resample, vector
+from tessera.operators.planes import lists
 from tessera.sinks import encoders
 
 PATHS = T.ArrayType(T.StructType([T.StructField("points", T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))), T.StructField("hole", T.BooleanType())]))
 
 
 def over_images(df: DataFrame, inputs: list[str], fields: list[T.StructField], call: Callable[..., dict], keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Rows (keep columns, fields): call(*inputs of a row) gives the fields of the row as a dict."""
+    """Rows (keep columns, fields): call(*inputs of a row) gives the fields of the row as a dict; arrays come as numpy ones."""
     source = df.select(*keep, *[c for c in inputs if c not in keep])
     names = source.columns
     schema = T.StructType([*[source.schema[k] for k in keep], *fields])
@@ -30,8 +31,8 @@ def over_images(df: DataFrame, inputs: list[str], fields: list[T.StructField], c
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            columns = [batch.column(names.index(c)) for c in inputs]
-            rows = [call(*(c[k].as_py() for c in columns)) for k in range(batch.num_rows)]
+            columns = [_values(batch.column(names.index(c))) for c in inputs]
+            rows = [call(*row) for row in zip(*columns, strict=True)]
             kept = [batch.column(names.index(k)) for k in keep]
             values = [pa.array([r.get(f.name) for r in rows], out.field(f.name).type) for f in fields]
             yield pa.RecordBatch.from_arrays([*kept, *values], schema=out)
@@ -39,14 +40,23 @@ def over_images(df: DataFrame, inputs: list[str], fields: list[T.StructField], c
     return source.mapInArrow(run, schema)
 
 
-def _plane(values: list, width: int, height: int, kind: type = np.int64) -> np.ndarray:
-    return np.array(values, kind).reshape(height, width)
+def _values(column: pa.Array) -> list:
+    """Python values of a column; rows of arrays of numbers as slices of the column's buffer (null: None)."""
+    if not pa.types.is_list(column.type) or pa.types.is_nested(column.type.value_type):
+        return column.to_pylist()
+    values, offsets = lists(column)
+    rows = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return [r if ok else None for r, ok in zip(rows, column.is_valid().to_pylist(), strict=True)] if column.null_count else rows
+
+
+def _plane(values: np.ndarray, width: int, height: int, kind: type = np.int64) -> np.ndarray:
+    return values.astype(kind).reshape(height, width)
 
 
 def contours(df: DataFrame, mask: str = "mask", threshold: int = 128, max_nodes: int = vector.MAX_NODES) -> DataFrame:
     """(image_id, error, paths): traced contours."""
 
-    def call(w: int, h: int, values: list) -> dict:
+    def call(w: int, h: int, values: np.ndarray) -> dict:
         if len(values) != w * h:
             return {"error": "SizeMismatch"}
         error, paths = vector.trace(_plane(values, w, h), threshold, max_nodes)
@@ -62,7 +72,7 @@ _CURVES += [T.StructField("raster_iou", T.DoubleType()), T.StructField("disagree
 def curves(df: DataFrame, mask: str = "mask", tolerance: float = vector.TOLERANCE, radius: float = vector.RADIUS) -> DataFrame:
     """(image_id, error, used_curves, ..., data): certified curves of a mask's contours, as path data."""
 
-    def call(w: int, h: int, values: list) -> dict:
+    def call(w: int, h: int, values: np.ndarray) -> dict:
         plane = _plane(values, w, h)
         error, paths = vector.trace(plane)
         if error != "None":
@@ -77,7 +87,7 @@ def curves(df: DataFrame, mask: str = "mask", tolerance: float = vector.TOLERANC
 def simplified(df: DataFrame, mask: str = "mask") -> DataFrame:
     """(image_id, error, total_nodes, removed, raster_iou): contours thinned as far as the gate allows."""
 
-    def call(w: int, h: int, values: list) -> dict:
+    def call(w: int, h: int, values: np.ndarray) -> dict:
         plane = _plane(values, w, h)
         error, paths = vector.trace(plane)
         if error != "None":
@@ -92,16 +102,26 @@ def simplified(df: DataFrame, mask: str = "mask") -> DataFrame:
 def topology(df: DataFrame, mask: str = "mask", threshold: int = 128) -> DataFrame:
     """(image_id, components, holes)."""
 
-    def call(w: int, h: int, values: list) -> dict:
+    def call(w: int, h: int, values: np.ndarray) -> dict:
         return dict(zip(("components", "holes"), evidence.topology(_plane(values, w, h) >= threshold), strict=True))
 
     return over_images(df, ["width", "height", mask], [T.StructField("components", T.IntegerType()), T.StructField("holes", T.IntegerType())], call)
 
 
+def boundary_distance(df: DataFrame, a: str, b: str, threshold: int = 128) -> DataFrame:
+    """(image_id, n_points, n_other, p95): boundary points of two masks of a row, and the larger of both directed distances."""
+
+    def call(w: int, h: int, one: np.ndarray, two: np.ndarray) -> dict:
+        p, q = _plane(one, w, h) >= threshold, _plane(two, w, h) >= threshold
+        return {"n_points": len(evidence.boundary(p)), "n_other": len(evidence.boundary(q)), "p95": evidence.boundary_p95(p, q)}
+
+    return over_images(df, ["width", "height", a, b], [T.StructField("n_points", T.IntegerType()), T.StructField("n_other", T.IntegerType()), T.StructField("p95", T.DoubleType())], call)
+
+
 def resized(df: DataFrame, planes: list[str], width: int, height: int, name: str = "lanczos3", clamp: bool = True) -> DataFrame:
     """(image_id, error, width, height, pixels array<float>): images of any size resampled, channels interleaved."""
 
-    def call(w: int, h: int, *values: list) -> dict:
+    def call(w: int, h: int, *values: np.ndarray) -> dict:
         if any(len(v) != w * h for v in values):
             return {"error": "SourceSizeMismatch"}
         error, image = resample.resize(np.stack([_plane(v, w, h, np.float32) for v in values], axis=-1), width, height, name, clamp)

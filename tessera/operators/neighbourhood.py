@@ -1,23 +1,22 @@
-"""Operators on the neighbourhood of pixels, as expressions over planes of one image a row.
+"""Operators on the neighbourhood of pixels, over planes of one image a row; no rows move.
 
-A plane is an array in row-major order. `at(plane, x, y)` expressions take out-of-range places as null, and the
-aggregates of neighbours skip them, which clips windows at the image's edge. No rows move.
+Restoration and enlargement compute stacks of images (see planes.py). The content features are expressions: out-of-range
+neighbours are null there and skipped, which clips windows at the image's edge.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import planes
+
 # Thresholds of the content features and of the routing rules.
 EDGE, FLAT, ALPHA_STEP = 0.12, 0.025, 0.10
 BLOCK, JUMP = 8, 0.25
 
 
-def _index(width: str, height: str) -> Column:
-    return F.expr(f"sequence(0, {width} * {height} - 1)")
-
-
 def shifted(plane: str, dx: int, dy: int, width: str = "width", height: str = "height") -> str:
     """SQL for the value of the pixel dx, dy away from pixel number i, null outside."""
     ok = []
@@ -43,99 +42,43 @@ def _pixels(body: str) -> str:
     return f"transform(sequence(0, width * height - 1), i -> {body})"
 
 
-def _around(plane: str) -> str:
-    return "array(" + ", ".join(shifted(plane, dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"
-
-
-def _low(plane: str) -> str:
-    return _pixels(f"array_min({_around(plane)})")
-
-
-def _high(plane: str) -> str:
-    return _pixels(f"array_max({_around(plane)})")
-
-
-def _mean(plane: str, alpha: str | None = None) -> str:
-    """Mean of the clipped 3 by 3 window, summed row by row, as float; with an alpha, of a premultiplied plane by it.
-
-    A weighted mean is put back to the pixel's own alpha; it is zero where either alpha is.
-    """
-    if not alpha:
-        total = f"aggregate(filter({_around(plane)}, v -> v IS NOT NULL), struct(0D AS s, 0 AS n), (t, v) -> struct(t.s + CAST(v AS DOUBLE) AS s, t.n + 1 AS n))"
-        return f"transform({_pixels(total)}, t -> CAST(t.s / t.n AS FLOAT))"
-    fold = lambda p: f"aggregate(filter({_around(p)}, v -> v IS NOT NULL), 0D, (s, v) -> s + CAST(v AS DOUBLE))"
-    sums = f"struct({fold(plane)} AS c, {fold(alpha)} AS s, {shifted(alpha, 0, 0)} AS own)"
-    value = "CASE WHEN t.own <= 0 OR t.s <= 0 THEN CAST(0 AS FLOAT) ELSE greatest(CAST(0 AS FLOAT), least(t.own, CAST(t.c / t.s * CAST(t.own AS DOUBLE) AS FLOAT))) END"
-    return f"transform({_pixels(sums)}, t -> {value})"
-
-
-def local_min(plane: str) -> Column:
-    return F.expr(_low(plane))
-
-
-def local_max(plane: str) -> Column:
-    return F.expr(_high(plane))
-
-
-def local_mean(plane: str, alpha: str | None = None) -> Column:
-    return F.expr(_mean(plane, alpha))
-
-
-def _bounded(value: str, alpha: str | None) -> str:
-    top = shifted(alpha, 0, 0) if alpha else "CAST(1 AS FLOAT)"
-    return f"greatest(CAST(0 AS FLOAT), least({top}, {value}))"
-
-
-def _denoised(plane: str, mean: str, strength: float, alpha: str | None) -> str:
-    own = shifted(plane, 0, 0)
-    return _pixels(_bounded(f"CAST({own} + CAST({strength} AS FLOAT) * (get({mean}, i) - {own}) AS FLOAT)", alpha))
+def local_range(df: DataFrame, plane: str, low: str = "low", high: str = "high", mean: str = "mean") -> DataFrame:
+    """Least, greatest and mean value of each pixel's 3 by 3 window, clipped at the edges."""
+    return planes.with_planes(df, [plane], [low, high, mean], lambda x: {low: planes.local_extent(x, np.minimum), high: planes.local_extent(x, np.maximum), mean: planes.local_mean(x)})
 
 
 def denoise(df: DataFrame, plane: str, out: str, strength: float = 0.2, alpha: str | None = None) -> DataFrame:
     """Blend of each pixel with its 3 by 3 mean; planes are float arrays."""
-    return df.withColumn(out, bound({"mean": _mean(plane, alpha)}, _denoised(plane, "mean", strength, alpha)))
-
-
-def _deblocked(plane: str, vertical: bool, strength: float, alpha: str | None) -> str:
-    """One axis; reads the bound names plane, low and high."""
-    place, size = ("i % width", "width") if vertical else ("i DIV width", "height")
-    dx, dy = (1, 0) if vertical else (0, 1)
-    own, after, before = shifted(plane, 0, 0), shifted(plane, dx, dy), shifted(plane, -dx, -dy)
-
-    def pulled(left: str, right: str) -> str:
-        move = f"CAST({own} + CAST({strength} AS FLOAT) * CAST(0.5 AS FLOAT) * (CAST(0.5 AS FLOAT) * ({left} + {right}) - {own}) AS FLOAT)"
-        inner = _bounded(f"greatest(get(low, i), least(get(high, i), {move}))", alpha)
-        return f"CASE WHEN abs({right} - {left}) > CAST({JUMP} AS FLOAT) THEN {own} ELSE {inner} END"
-
-    return _pixels(
-        f"CASE WHEN {size} < 3 THEN {own} "
-        f"WHEN {place} % {BLOCK} = {BLOCK - 1} AND {place} + 1 < {size} THEN {pulled(own, after)} "
-        f"WHEN {place} % {BLOCK} = 0 AND {place} > 0 THEN {pulled(before, own)} ELSE {own} END"
-    )
+    return planes.with_planes(df, [plane, *([alpha] if alpha else [])], [out], lambda x, a=None: {out: planes.denoised(x, strength, a)})
 
 
 def deblock(df: DataFrame, plane: str, strength: float = 0.15, alpha: str | None = None) -> DataFrame:
     """Pull both sides of block boundaries together: columns first, then rows of the result."""
     if strength <= 0:
         return df
-    for vertical in (True, False):
-        df = df.withColumn(plane, bound({"own": plane, "low": _low("own"), "high": _high("own")}, _deblocked("own", vertical, strength, alpha)))
-    return df
+    return planes.with_planes(df, [plane, *([alpha] if alpha else [])], [plane], lambda x, a=None: {plane: planes.deblocked(x, strength, a, BLOCK, JUMP)})
+
+
+def restore(df: DataFrame, colors: list[str], outs: list[str], denoise_strength: float = 0.2, deblock_strength: float = 0.15, sharpen_strength: float = 0.15, alpha: str | None = None) -> DataFrame:
+    """Denoise, deblock, sharpen each colour plane; sharpened values stay within the source's local range and the alpha."""
 
+    def kernel(*stacks: np.ndarray) -> planes.Stacks:
+        a = stacks[len(colors)] if alpha else None
+        found = {}
+        for out, x in zip(outs, stacks, strict=False):
+            base = planes.denoised(x, denoise_strength, a)
+            if deblock_strength > 0:
+                base = planes.deblocked(base, deblock_strength, a, BLOCK, JUMP)
+            found[out] = planes.sharpened(x, base, sharpen_strength, a)
+        return found
 
-def restore(df: DataFrame, plane: str, out: str, denoise_strength: float = 0.2, deblock_strength: float = 0.15, sharpen_strength: float = 0.15, alpha: str | None = None) -> DataFrame:
-    """Denoise, deblock, sharpen; sharpened values stay within the source's local range and the alpha."""
-    df = deblock(denoise(df, plane, "_base", denoise_strength, alpha), "_base", deblock_strength, alpha)
-    sharp = f"CAST(get(base, i) + CAST({sharpen_strength} AS FLOAT) * (get(base, i) - get(mean, i)) AS FLOAT)"
-    value = _pixels(_bounded(f"greatest(get(low, i), least(get(high, i), {sharp}))", alpha))
-    return df.withColumn(out, bound({"base": "_base", "mean": _mean("base", alpha), "low": _low(plane), "high": _high(plane)}, value)).drop("_base")
+    return planes.with_planes(df, [*colors, *([alpha] if alpha else [])], outs, kernel)
 
 
 def features(df: DataFrame, r: str, g: str, b: str, a: str | None = None) -> DataFrame:
     """The five content features of images with planes in 0 to 1, and `valid`."""
     at = lambda p: f"get({p}, i)"
-    planes = [r, g, b, *([a] if a else [])]
-    sound = " AND ".join(f"forall({p}, v -> v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND v <= 1) AND size({p}) = width * height" for p in planes)
+    sound = " AND ".join(f"forall({p}, v -> v IS NOT NULL AND NOT isnan(v) AND v >= 0 AND v <= 1) AND size({p}) = width * height" for p in (r, g, b, *([a] if a else [])))
     df = df.withColumn("valid", F.expr(f"width > 0 AND height > 0 AND {sound}"))
     lum = f"0.2126D * CAST({at(r)} AS DOUBLE) + 0.7152D * CAST({at(g)} AS DOUBLE) + 0.0722D * CAST({at(b)} AS DOUBLE)"
     cell = lambda p: f"least(7, CAST({at(p)} * 8 AS INT))"
@@ -181,22 +124,4 @@ def super_resolve(df: DataFrame, plane: str, out: str, scale: int = 2, alpha: st
     """Half-pixel bilinear enlargement, kept within its four sources and under the interpolated alpha; `out` is scale times as wide and high."""
     if scale not in (2, 4):
         raise ValueError("scale is 2 or 4")
-    place = lambda i, n: f"greatest(CAST(0 AS FLOAT), least(CAST({n} - 1 AS FLOAT), CAST((CAST({i} AS FLOAT) + CAST(0.5 AS FLOAT)) / CAST({scale} AS FLOAT) - CAST(0.5 AS FLOAT) AS FLOAT)))"
-    spot = f"struct({place(f'(i % (width * {scale}))', 'width')} AS sx, {place(f'(i DIV (width * {scale}))', 'height')} AS sy)"
-    grid = f"transform(transform(sequence(0, width * height * {scale * scale} - 1), i -> {spot}), s -> struct(CAST(floor(s.sx) AS INT) AS x0, CAST(floor(s.sy) AS INT) AS y0, CAST(s.sx - floor(s.sx) AS FLOAT) AS tx, CAST(s.sy - floor(s.sy) AS FLOAT) AS ty))"
-    df = df.withColumn("_grid", F.expr(grid))
-
-    def four(p: str) -> str:
-        cell = lambda x, y: f"get({p}, CAST({y} * width + {x} AS INT))"
-        x1, y1 = "least(width - 1, s.x0 + 1)", "least(height - 1, s.y0 + 1)"
-        return f"struct({cell('s.x0', 's.y0')} AS a, {cell(x1, 's.y0')} AS b, {cell('s.x0', y1)} AS c, {cell(x1, y1)} AS d, s.tx AS tx, s.ty AS ty)"
-
-    top, bottom = "CAST(q.a + q.tx * (q.b - q.a) AS FLOAT)", "CAST(q.c + q.tx * (q.d - q.c) AS FLOAT)"
-    blend = f"CAST({top} + q.ty * ({bottom} - {top}) AS FLOAT)"
-    ranged = f"greatest(least(q.a, q.b, q.c, q.d), least(greatest(q.a, q.b, q.c, q.d), {blend}))"
-    df = df.withColumn("_v", F.expr(f"transform(transform(_grid, s -> {four(plane)}), q -> {ranged})"))
-    if alpha:
-        df = df.withColumn("_a", F.expr(f"transform(transform(_grid, s -> {four(alpha)}), q -> greatest(CAST(0 AS FLOAT), least(CAST(1 AS FLOAT), {blend})))"))
-        df = df.withColumn("_v", F.zip_with("_v", "_a", lambda v, a: F.greatest(F.lit(0).cast("float"), F.least(a, v)))).drop("_a")
-    value = F.transform("_v", lambda v: F.greatest(F.lit(0).cast("float"), F.least(F.lit(1).cast("float"), v)))
-    return df.withColumns({out: value}).drop("_grid", "_v")
+    return planes.with_planes(df, [plane, *([alpha] if alpha else [])], [out], lambda x, a=None: {out: planes.enlarged(x, scale, a)})

@@ -1,7 +1,6 @@
 """Resampling: tap tables as relational rows, and resizing of whole images.
 
-resize() takes images of any size in numpy, one image a call; resize_plane() is the same as expressions for images of
-one known size, with the tap tables as literals.
+resize() takes one image in numpy; resize_plane() does the same for tables of images, all of one size at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.neighbourhood import bound
+from tessera.operators import planes
 
 SUPPORT = {"bilinear": 1.0, "bicubic": 2.0, "lanczos3": 3.0}
 _TINY = 1e-15
@@ -76,15 +75,18 @@ def resize(image: np.ndarray, width: int, height: int, name: str = "lanczos3", c
         return "InvalidChannelCount", None
     if not np.isfinite(image).all():
         return "NonFiniteSample", None
-    image = image.astype(np.float32)
+    return "None", _resized(image.astype(np.float32), width, height, name, clamp)
+
+
+def _resized(image: np.ndarray, width: int, height: int, name: str, clamp: bool) -> np.ndarray:
     if (height, width) == image.shape[:2]:
-        return "None", image
+        return image
     across, down = taps(image.shape[1], width, name), taps(image.shape[0], height, name)
     out = _fold(_fold(image.transpose(1, 0, 2), across).transpose(1, 0, 2), down)
     if clamp:
         low, high = (_extent(_extent(image.transpose(1, 0, 2), across, pick).transpose(1, 0, 2), down, pick) for pick in (np.minimum, np.maximum))
         out = np.clip(out, low, high)
-    return "None", out
+    return out
 
 
 def tap_rows(spark: SparkSession, sizes: DataFrame, name: str = "lanczos3") -> DataFrame:
@@ -111,17 +113,10 @@ def kernel_column(name: str, x: Column) -> Column:
     return F.when(x < 3, sinc(x) * sinc(x / 3)).otherwise(0.0)
 
 
-def resize_plane(df: DataFrame, plane: str, out: str, source: tuple[int, int], target: tuple[int, int], name: str = "lanczos3", clamp: bool = True) -> DataFrame:
-    """Images with a plane (float array) of size `source` (width, height) enlarged or reduced to `target`, without moving rows."""
-    (w, h), (tw, th) = source, target
-    if source == target:
-        return df.withColumn(out, F.col(plane))
-    across, down = taps(w, tw, name), taps(h, th, name)
-    literal = lambda table: "array(" + ", ".join("array(" + ", ".join(f"struct({p} AS p, {x!r}D AS w)" for p, x in row) + ")" for row in table) + ")"
-    first = f"aggregate(get(across, i % {tw}), 0D, (s, t) -> s + CAST(get({plane}, (CAST(i DIV {tw} AS INT)) * {w} + t.p) AS DOUBLE) * t.w)"
-    wide = f"transform(sequence(0, {tw * h - 1}), i -> CAST({first} AS FLOAT))"
-    value = f"CAST(aggregate(get(down, CAST(i DIV {tw} AS INT)), 0D, (s, t) -> s + CAST(get(wide, t.p * {tw} + i % {tw}) AS DOUBLE) * t.w) AS FLOAT)"
-    if clamp:
-        spread = f"flatten(transform(get(down, CAST(i DIV {tw} AS INT)), v -> transform(get(across, i % {tw}), u -> get({plane}, v.p * {w} + u.p))))"
-        value = f"greatest(array_min({spread}), least(array_max({spread}), {value}))"
-    return df.withColumn(out, bound({"across": literal(across), "down": literal(down), "wide": wide}, f"transform(sequence(0, {tw * th - 1}), i -> {value})"))
+def resize_plane(df: DataFrame, plane: str, out: str, target: tuple[int, int], name: str = "lanczos3", clamp: bool = True) -> DataFrame:
+    """Planes of any size enlarged or reduced to `target` (width, height); the images of one size in a batch are computed together."""
+
+    def kernel(x: np.ndarray) -> planes.Stacks:
+        return {out: _resized(x.transpose(1, 2, 0), *target, name, clamp).transpose(2, 0, 1)}  # the images are channels
+
+    return planes.with_planes(df, [plane], [out], kernel)

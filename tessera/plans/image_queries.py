@@ -9,20 +9,26 @@ from tessera.functions import pixel
 from tessera.operators import evidence, geometry, images, neighbourhood, resample
 from tessera.plans.rasters import GRAY_SQL, RGBA_SQL, gray, rgba
 from tessera.sinks import encoders
-from tessera.session import table
+from tessera.session import spread, table
 
 
 def _floats(df: DataFrame, column: str = "lum", out: str = "f") -> DataFrame:
     return df.withColumn(out, F.transform(column, lambda v: v.cast("float")))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, width, height, f): the gray rasters as floats."""
+    return _floats(gray(spark, d)).select("image_id", "width", "height", "f")
+
+
 def _rounded(column: str, digits: int = 5) -> F.Column:
     return F.round(F.col(column).cast("double"), digits).alias(column)
 
 
 def _long(df: DataFrame, column: str, name: str = "v", digits: int = 4) -> DataFrame:
     """(image_id, p, v): one pixel a row."""
-    return df.select("image_id", F.posexplode(column).alias("p", "v")).select("image_id", "p", F.round(F.col("v").cast("double"), digits).alias(name))
+    # The outer form: below the other one the optimiser puts a filter that computes the whole column once more.
+    return df.select("image_id", F.posexplode_outer(column).alias("p", "v")).select("image_id", "p", F.round(F.col("v").cast("double"), digits).alias(name))
 
 
 # Pixels ---------------------------------------------------------------------------------------------------------------
@@ -179,9 +185,7 @@ SELECT image_id, sum(fg::INT)::INT AS components, sum((NOT fg AND NOT border)::I
 
 
 def boundary_p95(spark: SparkSession, d: str) -> DataFrame:
-    rows = _two_masks(spark, d).withColumns({"p": evidence.boundary_points("mask"), "q": evidence.boundary_points("other")})
-    rows = rows.withColumns({"there": evidence.directed_p95("p", "q"), "back": evidence.directed_p95("q", "p")})
-    return rows.select("image_id", F.size("p").alias("n_points"), F.size("q").alias("n_other"), F.round(F.greatest("there", "back"), 6).alias("p95"))
+    return images.boundary_distance(_two_masks(spark, d), "mask", "other").withColumn("p95", F.round("p95", 6))
 
 
 BOUNDARY_P95 = f"""
@@ -219,8 +223,8 @@ SELECT image_id, round(m, 6) AS color_mae, round(v, 6) AS visible_residual_ratio
 
 
 def local_range(spark: SparkSession, d: str) -> DataFrame:
-    rows = _floats(gray(spark, d)).withColumns({"low": neighbourhood.local_min("f"), "high": neighbourhood.local_max("f"), "mean": neighbourhood.local_mean("f")})
-    rows = rows.select("image_id", F.posexplode(F.arrays_zip("low", "high", "mean")).alias("p", "v"))
+    rows = neighbourhood.local_range(_floats(gray(spark, d)).select("image_id", "width", "height", "f"), "f")
+    rows = rows.select("image_id", F.posexplode_outer(F.arrays_zip("low", "high", "mean")).alias("p", "v"))
     return rows.select("image_id", "p", *[F.round(F.col(f"v.{c}").cast("double"), 4).alias(c) for c in ("low", "high", "mean")])
 
 
@@ -235,7 +239,7 @@ SELECT image_id, (y * 8 + x)::INT AS p, round(lo::DOUBLE, 4) AS low, round(hi::D
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     """16 by 4: one raster has two blocks."""
-    rows = table(spark, d, "embeddings").where(F.size("embedding") == 64)
+    rows = spread(table(spark, d, "embeddings").where(F.size("embedding") == 64))
     f = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") + 1) / 2)).cast("float"))
     return rows.select(F.col("vec_id").alias("image_id"), F.lit(16).alias("width"), F.lit(4).alias("height"), f.alias("f"))
 
@@ -270,7 +274,7 @@ SELECT image_id, (y * 16 + x)::INT AS p, round((CASE
 
 def restore(spark: SparkSession, d: str) -> DataFrame:
     """With denoising off, the sharpening of the source is all that is left beside deblocking."""
-    return _long(neighbourhood.restore(_floats(gray(spark, d)), "f", "out", 0.0, 0.0, 0.4), "out")
+    return _long(neighbourhood.restore(_sized(spark, d), ["f"], ["out"], 0.0, 0.0, 0.4), "out")
 
 
 RESTORE = f"""
@@ -283,14 +287,13 @@ def restore_rgba(spark: SparkSession, d: str) -> DataFrame:
     """Premultiplied colour with the default strengths; results stay under the alpha."""
     unit = {c: F.transform(c, lambda v: (v / 255.0).cast("float")) for c in "rgba"}
     rows = rgba(spark, d).withColumns(unit).withColumns({c: F.zip_with(c, "a", lambda v, a: (v * a).cast("float")) for c in "rgb"})
-    for c in "rgb":
-        rows = neighbourhood.restore(rows, c, f"out_{c}", alpha="a")
+    rows = neighbourhood.restore(rows, list("rgb"), [f"out_{c}" for c in "rgb"], alpha="a")
     under = F.forall(F.zip_with("out_r", "a", lambda v, a: v <= a), lambda v: v)
     return rows.select("image_id", under.alias("under_alpha"), *[F.round(F.aggregate(f"out_{c}", F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias(f"sum_{c}") for c in "rgb"])
 
 
 def super_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return _long(neighbourhood.super_resolve(_floats(gray(spark, d)), "f", "out", 2), "out")
+    return _long(neighbourhood.super_resolve(_sized(spark, d), "f", "out", 2), "out")
 
 
 SUPER_RESOLVE = f"""
@@ -322,7 +325,7 @@ SELECT source, target, place, (row_number() OVER (PARTITION BY source, target, p
 
 
 def resize_lanczos3(spark: SparkSession, d: str) -> DataFrame:
-    return _long(resample.resize_plane(_floats(gray(spark, d)), "f", "out", (8, 8), (16, 16)), "out")
+    return _long(resample.resize_plane(_sized(spark, d), "f", "out", (16, 16)), "out")
 
 
 _RESIZE_SQL = """
@@ -342,7 +345,7 @@ RESIZE_LANCZOS3 = f"WITH {GRAY_SQL}, " + _RESIZE_SQL.format(target=16, scale="2.
 
 
 def resize_bicubic(spark: SparkSession, d: str) -> DataFrame:
-    found = images.resized(_floats(gray(spark, d)), ["f"], 12, 12, "bicubic")
+    found = images.resized(_sized(spark, d), ["f"], 12, 12, "bicubic")
     return _long(found, "pixels")
 
 
@@ -350,7 +353,7 @@ RESIZE_BICUBIC = f"WITH {GRAY_SQL}, " + _RESIZE_SQL.format(target=12, scale="1.5
 
 
 def downscale_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    return _long(resample.resize_plane(_floats(gray(spark, d)), "f", "out", (8, 8), (4, 4), "bilinear"), "out")
+    return _long(resample.resize_plane(_sized(spark, d), "f", "out", (4, 4), "bilinear"), "out")
 
 
 DOWNSCALE = f"WITH {GRAY_SQL}, " + _RESIZE_SQL.format(target=4, scale="0.5::DOUBLE", reach="2.0::DOUBLE", narrow="0.5::DOUBLE", kernel="CASE WHEN d < 1 THEN 1 - d ELSE 0 END")
@@ -419,12 +422,12 @@ def fit_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated_simplify(spark: SparkSession, d: str) -> DataFrame:
-    return images.simplified(gray(spark, d).where(F.col("image_id") >= 0)).select("image_id", "error", "total_nodes", "removed", _rounded("raster_iou", 6))
+    return images.simplified(gray(spark, d)).select("image_id", "error", "total_nodes", "removed", _rounded("raster_iou", 6))
 
 
 def _logos(spark: SparkSession, d: str) -> DataFrame:
     """32 by 32 opaque images: light ground, two dark blocks whose place and colour follow the part's key."""
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 11).cast("int").alias("k"), F.col("p_size").alias("s"))
+    rows = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 11).cast("int").alias("k"), F.col("p_size").alias("s"))
     dark = "i % 32 >= 3 + k AND i % 32 < 20 + k AND NOT (i % 32 >= 9 + k AND i % 32 < 13 + k) AND i DIV 32 >= 5 AND i DIV 32 < 24"
     px = f"transform(sequence(0, 1023), i -> CASE WHEN {dark} THEN concat(lpad(hex(20 + k * 3), 2, '0'), '14', lpad(hex(s % 60), 2, '0'), 'FF') ELSE 'FFFFFFFF' END)"
     return rows.select("image_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.unhex(F.array_join(F.expr(px), "")).alias("rgba"))

@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import spread, table
 
 GRAY, COLOR = 8, 4
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, width, height, lum array<double>, mask array<int>): 8 by 8, a mask value is 255 where the component is positive."""
-    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == GRAY * GRAY)
+    rows = spread(table(spark, sf_dir, "embeddings").where(F.size("embedding") == GRAY * GRAY))
     lum = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") * 2 + 1) / 2)))
     mask = F.transform("embedding", lambda v: F.when(v > 0, 255).otherwise(0))
     return rows.select(F.col("vec_id").alias("image_id"), F.lit(GRAY).alias("width"), F.lit(GRAY).alias("height"), lum.alias("lum"), mask.alias("mask"))
@@ -23,7 +23,7 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, width, height, r, g, b, a array<int>): 4 by 4, straight sRGB bytes."""
-    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == COLOR * COLOR * 4)
+    rows = spread(table(spark, sf_dir, "embeddings").where(F.size("embedding") == COLOR * COLOR * 4))
     u8 = F.transform("embedding", lambda v: (F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") * 3 + 1) / 2)) * 255 + 0.5).cast("int"))
     rows = rows.select(F.col("vec_id").alias("image_id"), u8.alias("u8"))
     plane = lambda c: F.transform(F.sequence(F.lit(0), F.lit(COLOR * COLOR - 1)), lambda i: F.get("u8", i * 4 + c))

@@ -26,9 +26,11 @@ def local_session(cores: int | str = "*", app: str = "tessera", memory: str = "8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset in a local session (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -63,6 +65,12 @@ def _clean() -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as there are cores, where a source of few files has fewer: for costly work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -193,7 +193,7 @@ def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
 def decode_png(data: bytes) -> np.ndarray:
     """Eight bits, gray or RGB with or without alpha, not interlaced, sRGB."""
     _require(data[:8] == b"\x89PNG\r\n\x1a\n")
-    at, packed, seen, gamma = 8, [], set(), GAMMA
+    at, packed, held, seen, gamma = 8, [], 0, set(), GAMMA
     head: tuple | None = None
     closed = ended = False
     while at < len(data) and not ended:
@@ -212,7 +212,8 @@ def decode_png(data: bytes) -> np.ndarray:
         elif name == b"IDAT":
             _require(not closed)
             packed.append(body)
-            _require(sum(map(len, packed[-1:])) <= 5 * MAX_PIXELS, BUDGET)
+            held += size
+            _require(held <= 5 * MAX_PIXELS, BUDGET)
         elif name == b"IEND":
             _require(packed and not size)
             ended = True

@@ -76,11 +76,11 @@ def test_stream_of_files(spark, files, tmp_path):
     assert all(r.output_sha256 == hashlib.sha256(r.bytes).hexdigest() for r in rows if r.error == "None")
 
 
-def test_native_planes_like_numpy(spark):
+def test_planes_of_tables_like_single_images(spark):
     rnd = np.random.default_rng(4)
     planes = [(k, 9, 10, rnd.random(90).astype(np.float32).tolist()) for k in range(4)]
     df = spark.createDataFrame(planes, "image_id long, width int, height int, f array<float>")
-    native = {r.image_id: r.out for r in resample.resize_plane(df, "f", "out", (9, 10), (13, 7)).collect()}
+    native = {r.image_id: r.out for r in resample.resize_plane(df, "f", "out", (13, 7)).collect()}
     plain = {r.image_id: r.pixels for r in images.resized(df, ["f"], 13, 7).collect()}
     assert all(np.abs(np.array(native[k]) - np.array(plain[k])).max() < 1e-6 for k in native)
     rgb = df.select("image_id", "width", "height", *[df.f.alias(c) for c in "rgb"])
@@ -98,7 +98,7 @@ def test_restoration_invariants(spark):
     out = {r.image_id: r.f for r in neighbourhood.deblock(df, "f", 0.5).collect()}
     assert out[0] == flat and out[1] == hard
     assert 0.40 < out[2][7] < out[2][8] < 0.55
-    done = {r.image_id: r.out for r in neighbourhood.restore(df, "f", "out").collect()}
+    done = {r.image_id: r.out for r in neighbourhood.restore(df, ["f"], ["out"]).collect()}
     assert all(min(a) - 1e-6 <= v <= max(a) + 1e-6 for a, b in zip((flat, hard, soft), (done[0], done[1], done[2]), strict=True) for v in b)
 
 
