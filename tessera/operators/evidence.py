@@ -23,10 +23,14 @@ MAX_PIXELS = 1_000_000
 
 
 def regions(mask: np.ndarray) -> np.ndarray:
-    """Numbers of 4-connected regions of equal value, by runs of rows that are joined with the runs above."""
+    """Numbers of 4-connected regions of equal value: runs of rows, joined with the runs above that they touch."""
     h, w = mask.shape
-    label = np.zeros((h, w), np.int64)
-    parent: list[int] = []
+    starts = np.ones((h, w), bool)
+    starts[:, 1:] = mask[:, 1:] != mask[:, :-1]
+    run = (np.cumsum(starts.ravel()) - 1).reshape(h, w)
+    same = mask[1:] == mask[:-1]
+    pairs = np.unique(run[:-1][same] * (run.size + 1) + run[1:][same])
+    parent = list(range(int(run[-1, -1]) + 1))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -34,17 +38,10 @@ def regions(mask: np.ndarray) -> np.ndarray:
             i = parent[i]
         return i
 
-    for y in range(h):
-        starts = np.flatnonzero(np.concatenate([[True], mask[y, 1:] != mask[y, :-1]]))
-        runs = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [w]]))) + len(parent)
-        parent += range(len(parent), len(parent) + len(starts))
-        label[y] = runs
-        if y:
-            same = np.flatnonzero(mask[y] == mask[y - 1])
-            for a, b in set(zip(label[y - 1, same].tolist(), runs[same].tolist(), strict=True)):
-                a, b = root(a), root(b)
-                parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(parent))], np.int64)[label] if parent else label
+    for a, b in zip((pairs // (run.size + 1)).tolist(), (pairs % (run.size + 1)).tolist(), strict=True):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(parent))], np.int64)[run]
 
 
 def topology(mask: np.ndarray) -> tuple[int, int]:

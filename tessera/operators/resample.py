@@ -6,6 +6,7 @@ resize() takes one image in numpy; resize_plane() does the same for tables of im
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,19 +51,29 @@ def taps(source: int, target: int, name: str = "lanczos3") -> list[list[tuple[in
     return table
 
 
-def _fold(image: np.ndarray, table: list[list[tuple[int, float]]]) -> np.ndarray:
+@lru_cache(maxsize=256)
+def _table(source: int, target: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tap table as source places and weights, one row a target place; shorter rows repeat their first place with weight 0."""
+    rows = taps(source, target, name)
+    most = max(map(len, rows))
+    at = np.array([[p for p, _ in row] + [row[0][0]] * (most - len(row)) for row in rows])
+    return at, np.array([[w for _, w in row] + [0.0] * (most - len(row)) for row in rows])
+
+
+def _fold(image: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted sums along the first axis, tap by tap in double precision."""
-    most = max(map(len, table))
-    at = np.array([[p for p, _ in row] + [0] * (most - len(row)) for row in table])
-    weight = np.array([[w for _, w in row] + [0.0] * (most - len(row)) for row in table])
-    total = np.zeros((len(table), *image.shape[1:]))
-    for k in range(most):
-        total += image[at[:, k]].astype(np.float64) * weight[:, k].reshape(-1, *[1] * (image.ndim - 1))
+    total = np.zeros((len(at), *image.shape[1:]))
+    wide = image.astype(np.float64)
+    for k in range(at.shape[1]):
+        total += wide[at[:, k]] * weight[:, k].reshape(-1, *[1] * (image.ndim - 1))
     return total.astype(np.float32)
 
 
-def _extent(image: np.ndarray, table: list[list[tuple[int, float]]], pick: np.ufunc) -> np.ndarray:
-    return np.stack([pick.reduce(image[sorted({p for p, _ in row})], axis=0) for row in table])
+def _extent(image: np.ndarray, at: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    found = image[at[:, 0]]
+    for k in range(1, at.shape[1]):
+        pick(found, image[at[:, k]], out=found)
+    return found
 
 
 def resize(image: np.ndarray, width: int, height: int, name: str = "lanczos3", clamp: bool = True) -> tuple[str, np.ndarray | None]:
@@ -81,10 +92,10 @@ def resize(image: np.ndarray, width: int, height: int, name: str = "lanczos3", c
 def _resized(image: np.ndarray, width: int, height: int, name: str, clamp: bool) -> np.ndarray:
     if (height, width) == image.shape[:2]:
         return image
-    across, down = taps(image.shape[1], width, name), taps(image.shape[0], height, name)
-    out = _fold(_fold(image.transpose(1, 0, 2), across).transpose(1, 0, 2), down)
+    across, down = _table(image.shape[1], width, name), _table(image.shape[0], height, name)
+    out = _fold(_fold(image.transpose(1, 0, 2), *across).transpose(1, 0, 2), *down)
     if clamp:
-        low, high = (_extent(_extent(image.transpose(1, 0, 2), across, pick).transpose(1, 0, 2), down, pick) for pick in (np.minimum, np.maximum))
+        low, high = (_extent(_extent(image.transpose(1, 0, 2), across[0], pick).transpose(1, 0, 2), down[0], pick) for pick in (np.minimum, np.maximum))
         out = np.clip(out, low, high)
     return out
 
