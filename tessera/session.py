@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
 import tempfile
 import uuid
@@ -36,33 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def session_dir(spark: SparkSession) -> str:
+    """A folder of this session in the shared one; the driver's JVM deletes it when it ends, also where a job failed."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows as a compressed table in the shared folder, which goes with the session."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    _left.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+    """The same rows with their lineage cut, as a compressed table in the shared folder, which goes with the session.
 
-_left: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clean() -> None:
-    """Delete the tables that written() made, as far as the session is still there."""
-    with contextlib.suppress(Exception):
-        for spark, path in _left:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    A checkpoint would compute the rows twice, and carry the plan's constraints along, which multiply in loops.
+    """
+    path = f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
