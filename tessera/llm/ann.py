@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import written
 
 #: Vectors from which centroids are made, at most; vectors of a list, about; lists, at most.
 SAMPLE, LIST, LISTS = 16_384, 128, 4096
@@ -175,7 +175,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                 lists = [at[i, :most][keep[i]].astype(np.int32) for i in range(len(at))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], ["id", "vec", "lists"])
 
-    indexed = cut(rows.mapInArrow(assign, "id long, vec array<double>, lists array<int>"))
+    indexed = written(rows.mapInArrow(assign, "id long, vec array<double>, lists array<int>"))
     postings = indexed.select("id", "vec", F.explode("lists").alias("list"))
     # One row a list: at most LISTS of them, so they can be sent everywhere.
     blocks = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import written
 
 #: Segments of a path that are nodes of their own.
 LEVELS = 3
@@ -87,7 +87,7 @@ def tree(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
     """
     names = [f"s{i}" for i in range(levels + 1)]
     counted = urls.select("host", *[c.alias(n) for c, n in zip(shapes_of(F.col("path"), levels), names, strict=True)], F.col("rule.verdict").alias("v"))
-    leaves = cut(
+    leaves = written(
         counted.groupBy("host", *names).agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("v") == "block", 1)).alias("blocked"), F.count("v").alias("labelled")
         )
@@ -111,7 +111,7 @@ def tree(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
         on = F.lit(True)
         for k in ["host", *above, s]:
             on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}"))
-        leaves = cut(leaves.alias("l").join(nodes.alias("m"), on).select("l.*", f"m.{t}"))  # counts by shape, few rows
+        leaves = written(leaves.alias("l").join(nodes.alias("m"), on).select("l.*", f"m.{t}"))  # counts by shape, few rows
         above.append(t)
     nodes = ["host", *above]
     purity = (F.sum("blocked") + PRIOR * STRENGTH) / (F.sum("labelled") + STRENGTH)
