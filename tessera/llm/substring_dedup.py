@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tessera.llm.windows import Segment, removed, without
+from tessera.llm.windows import GROUP_SEGMENTS, SHARD_SEGMENTS, Limits, Segment, removed, without
 
 #: Words of a window: the length threshold of removed spans.
 WINDOW = 13
@@ -98,6 +98,6 @@ def match(segments: list[Segment], n: int) -> list[list[int]]:
     return [automaton.holders(s.words, n) for s in segments]
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", limits: Limits = (GROUP_SEGMENTS, SHARD_SEGMENTS)) -> DataFrame:
     """(row, n_words, n_removed, spans, kept) for each document."""
-    return without(docs, removed(docs, match, window, anchor, id_col, text_col), id_col, text_col)
+    return without(docs, removed(docs, match, window, anchor, id_col, text_col, limits), id_col, text_col)

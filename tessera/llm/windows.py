@@ -9,9 +9,11 @@ removed intervals of each document come back to it by its key.
 - Before the shuffle a task drops segments that a smaller document of the same task holds word by word: these are
   removed wherever else they occur. A group of copies thus sends one segment a task, however many documents it has.
 - A shard's segments are matched by the caller's function, one minimiser at a time.
-- A shard with more than SHARD_SEGMENTS segments (a passage that very many documents share has a segment of other
-  neighbours in each) isn't held in memory: it streams its windows, as 128-bit codes, to a grouped minimum instead,
-  which combines before its shuffle and is spread over all windows.
+- A minimiser with more than GROUP_SEGMENTS segments (a passage that very many documents share has a segment of other
+  neighbours in each) is split: its windows are dealt anew by their next smallest anchor, which equal windows have in
+  common too, and matched there by the same function. So is a whole shard of more than SHARD_SEGMENTS, block by block as
+  it comes. Windows have N - M + 1 anchors, and those that agree in all of them are equal, so this ends.
+- There are as many shards as the texts need at PART_BYTES each, and two for each shuffle partition at least.
 
 Keys are the document's id and a 64-bit hash of its text, so that rows with equal ids are kept apart. Rows with a null
 id or text are neither references nor do they lose words.
@@ -34,8 +36,10 @@ from tessera.session import written
 
 #: Characters of text that a task takes together before it sends segments.
 GROUP_CHARS = 8_000_000
-#: Segments of a shard that are matched in memory.
-SHARD_SEGMENTS = 2_000_000
+#: Segments of a minimiser that are matched together (20,000 make an automaton of 150 MB), and of a shard.
+GROUP_SEGMENTS, SHARD_SEGMENTS = 10_000, 500_000
+#: Bytes of text for each partition, about.
+PART_BYTES = 16_000_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Anchors are told apart by 48 bits; words are compared when they are matched.
@@ -52,6 +56,8 @@ class Segment:
     doc: int
 
 
+#: Segments of a minimiser and of a shard, beyond which they are split.
+Limits = tuple[int, int]
 #: For the segments of one minimiser, by document: for each, the smallest document that holds each of its windows.
 Matcher = Callable[[list[Segment], int], list[list[int]]]
 
@@ -130,26 +136,28 @@ def _unpacked(block: bytes, kinds: list[type]) -> list[np.ndarray]:
 
 
 _META = [np.uint64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
-_FOUND = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text_hash", T.LongType()),
-        T.StructField("starts", T.ArrayType(T.IntegerType())),
-        T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("codes", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))),
-    ]
-)
+#: Removed stretches of a document, or a message to a shard of the next level.
+_FOUND = "doc_id long, text_hash long, starts array<int>, sizes array<int>, bucket int, meta binary, words binary"
 _ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("text_hash", pa.int64()),
-        ("starts", pa.list_(pa.int32())),
-        ("sizes", pa.list_(pa.int32())),
-        ("codes", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-    ]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("bucket", pa.int32()), ("meta", pa.binary()), ("words", pa.binary())]
 )
 
 
+def _messages(bucket: np.ndarray, code: np.ndarray, anchor: np.ndarray, cuts: tuple[list[int], list[int]], blob: bytes, holders: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
+    """(bucket, meta, words) for segments in the order of bucket and code; the holders of each in doc and at, its words blob[from:to]."""
+    if not len(bucket):
+        return
+    held = np.concatenate([[0], np.cumsum(holders)])
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    squeeze = zstandard.ZstdCompressor(level=5).compress
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        a, b = held[x], held[y]
+        own, of = np.unique(doc[a:b], return_inverse=True)
+        steps = np.diff(code[x:y], prepend=np.uint64(0))
+        meta = _packed(steps, anchor[x:y].astype(np.int32), holders[x:y].astype(np.int32), of.astype(np.int32), at[a:b].astype(np.int32), ids[own], hashes[own])
+        yield int(bucket[x]), meta, squeeze(b"\n".join([blob[i:j] for i, j in zip(cuts[0][x:y], cuts[1][x:y], strict=True)]))
+
+
 def _requests(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], n: int, m: int, buckets: int) -> Iterator[tuple]:
     """(bucket, meta, words, local answers) for a group of documents."""
     hashes = hashes.astype(np.int64)  # as wide as it is read
@@ -164,9 +172,19 @@ def _requests(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], n: int, m
         return
     doc = np.searchsorted(starts, begin, "right") - 1
     bucket = (code % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((ids[doc], whole, code, bucket))
-    begin, count, anchor, code, whole, doc, bucket = (x[order] for x in (begin, count, anchor, code, whole, doc, bucket))
-    new = np.concatenate([[True], (code[1:] != code[:-1]) | (whole[1:] != whole[:-1])])
+    offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    blob = b" ".join(words)
+    del words
+
+    def ordered(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids[doc], whole, code, bucket))
+        return order, np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
+
+    text = lambda k: blob[offset[begin[k]] : offset[begin[k] + count[k] + n - 1] - 1]
+    order, new = ordered(whole)
+    if any(text(order[i]) != text(order[i - 1]) for i in np.flatnonzero(~new).tolist()):  # other words with the same hash
+        order, new = ordered(np.unique([text(k) for k in range(len(begin))], return_inverse=True)[1])
+    begin, count, anchor, code, doc, bucket = (x[order] for x in (begin, count, anchor, code, doc, bucket))
     segment = np.cumsum(new) - 1
     head = np.flatnonzero(new)
     # A smaller document of this group has the same segment: all its windows go.
@@ -174,23 +192,9 @@ def _requests(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], n: int, m
     at, size = (begin - starts[doc]).astype(np.int32), (count + n - 1).astype(np.int32)
     answers = (doc[local], at[local], size[local])
     sent = ~local
-    holders = np.bincount(segment[sent], minlength=len(head)).astype(np.int32)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    offset = np.concatenate([[0], np.cumsum(lengths)])
-    blob = b" ".join(words)
-    del words
-    held = np.concatenate([[0], np.cumsum(holders)])
-    sent_doc, sent_at = doc[sent], at[sent]
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[head]) != 0, [True]]))
-    cut_from, cut_to = offset[begin[head]].tolist(), (offset[begin[head] + count[head] + n - 1] - 1).tolist()
-    squeeze = zstandard.ZstdCompressor(level=5).compress
-    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        a, b = held[x], held[y]
-        own, of = np.unique(sent_doc[a:b], return_inverse=True)
-        first = head[x:y]
-        steps = np.diff(code[first], prepend=np.uint64(0))
-        meta = _packed(steps, (anchor[first] - begin[first]).astype(np.int32), holders[x:y], of.astype(np.int32), sent_at[a:b], ids[own], hashes[own])
-        yield int(bucket[first[0]]), meta, squeeze(b"\n".join([blob[i:j] for i, j in zip(cut_from[x:y], cut_to[x:y], strict=True)]))
+    holders = np.bincount(segment[sent], minlength=len(head))
+    cuts = offset[begin[head]].tolist(), (offset[begin[head] + count[head] + n - 1] - 1).tolist()
+    yield from _messages(bucket[head], code[head], (anchor - begin)[head], cuts, blob, holders, doc[sent], at[sent], ids, hashes)
     if len(answers[0]):
         order = np.argsort(answers[0], kind="stable")
         of, at, size = (z[order] for z in answers)
@@ -227,47 +231,69 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, m: int, buckets: int) -> It
 class _Shard:
     """The segments of one bucket as they come, and what is found for them."""
 
-    def __init__(self, n: int, matcher: Matcher) -> None:
-        self.n, self.matcher = n, matcher
+    def __init__(self, n: int, m: int, matcher: Matcher, level: int, buckets: int, limits: Limits) -> None:
+        self.n, self.m, self.matcher, self.level, self.buckets, self.limits = n, m, matcher, level, buckets, limits
         self.blocks: list[tuple[list[np.ndarray], bytes]] = []
         self.segments = 0
-        self.streams = False
+        self.last = level >= n - m  # no anchor is left to split by
+        self.split = False
         self.found: list[tuple[int, int, int, int]] = []  # doc, text hash, start, size
 
     def add(self, meta: bytes, words: bytes) -> Iterator[pa.RecordBatch]:
         block = _unpacked(meta, _META), words
         self.segments += len(block[0][0])
-        if not self.streams and self.segments > SHARD_SEGMENTS:
-            self.streams = True
+        if not self.split and not self.last and self.segments > self.limits[1]:
+            self.split = True
             for old in self.blocks:
-                yield self.codes(*old)
+                yield self.dealt(*old)
             self.blocks = []
-        if self.streams:
-            yield self.codes(*block)
+        if self.split:
+            yield self.dealt(*block)
         else:
             self.blocks.append(block)
 
-    def codes(self, meta: list[np.ndarray], words: bytes) -> pa.RecordBatch:
-        """Every window of a block as a code of 128 bits, with its holders."""
-        _, _, holders, of, at, ids, hashes = meta
-        rows: dict[str, list] = {name: [] for name in _ARROW.names}
-        held = np.concatenate([[0], np.cumsum(holders)]).tolist()
-        for k, line in enumerate(zstandard.ZstdDecompressor().decompress(words).split(b"\n")):
-            own = line.split(b" ")
-            codes = []
-            for i in range(len(own) - self.n + 1):
-                x = xxhash.xxh3_128_intdigest(b" ".join(own[i : i + self.n]))
-                codes.append({"a": (x >> 64) - (1 << 63), "b": (x & ((1 << 64) - 1)) - (1 << 63)})
-            for h in range(held[k], held[k + 1]):
-                rows["doc_id"].append(int(ids[of[h]]))
-                rows["text_hash"].append(int(hashes[of[h]]))
-                rows["starts"].append(list(range(int(at[h]), int(at[h]) + len(codes))))
-                rows["sizes"].append([])
-                rows["codes"].append(codes)
-        return pa.RecordBatch.from_pydict(rows, _ARROW)
-
-    def match(self) -> None:
-        """Match the segments of all minimisers that several documents hold."""
+    def dealt(self, meta: list[np.ndarray], packed: bytes, wanted: np.ndarray | None = None) -> pa.RecordBatch:
+        """Messages to the next level: the windows of these segments by their next smallest anchor."""
+        n, m = self.n, self.m
+        steps, _, holders, of, at, ids, hashes = meta
+        code = np.cumsum(steps, dtype=np.uint64)
+        lines = zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
+        chosen = np.arange(len(code)) if wanted is None else np.flatnonzero(wanted)
+        words: list[bytes] = []
+        ends = []
+        for k in chosen.tolist():
+            words += lines[k].split(b" ")
+            ends.append(len(words))
+        sizes = np.diff([0, *ends])
+        starts = np.array(ends, np.int64) - sizes
+        prefix = _prefix(np.fromiter(map(_hash, words), np.uint64, len(words)))
+        place = np.arange(max(0, len(words) - m + 1))
+        anchors = _stretch(prefix, place, place + m) & _CODE
+        windows = sizes - n + 1
+        segment = np.repeat(np.arange(len(chosen)), windows)
+        begin = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[segment]
+        spot = np.empty(len(begin), np.int64)
+        for i in range(0, len(begin), 1 << 16):
+            around = anchors[begin[i : i + (1 << 16), None] + np.arange(n - m + 1)]
+            spot[i : i + (1 << 16)] = begin[i : i + (1 << 16)] + np.argsort(around, axis=1, kind="stable")[:, self.level + 1]
+        first = np.flatnonzero(np.concatenate([[True], (spot[1:] != spot[:-1]) | (segment[1:] != segment[:-1])]))
+        count = np.diff(np.concatenate([first, [len(begin)]]))
+        begin, spot, segment = begin[first], spot[first], segment[first]
+        finer = _mixed(code[chosen][segment] * _FACTOR + anchors[spot]) & _CODE
+        bucket = (finer % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((finer, bucket))
+        begin, spot, segment, count, finer, bucket = (x[order] for x in (begin, spot, segment, count, finer, bucket))
+        offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+        cuts = offset[begin].tolist(), (offset[begin + count + n - 1] - 1).tolist()
+        held = np.concatenate([[0], np.cumsum(holders)])
+        many = holders[chosen][segment].astype(np.int64)
+        which = np.repeat(held[chosen][segment], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        rows = list(_messages(bucket, finer, spot - begin, cuts, b" ".join(words), many, of[which], at[which] + np.repeat(begin - starts[segment], many), ids, hashes))
+        columns = [pa.array([r[k] for r in rows], _ARROW.field(4 + k).type) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), f.type) for f in list(_ARROW)[:4]), *columns], schema=_ARROW)
+
+    def match(self) -> Iterator[pa.RecordBatch]:
+        """Match the segments of all minimisers that several documents hold, but for those that are split."""
         if not self.blocks:
             return
         code = np.concatenate([np.cumsum(b[0][0], dtype=np.uint64) for b in self.blocks])
@@ -282,6 +308,15 @@ class _Shard:
         sorted_code, sorted_doc = code[order], least[order]
         edge = np.flatnonzero(np.concatenate([[True], sorted_code[1:] != sorted_code[:-1], [True]]))
         several = sorted_doc[edge[:-1]] != sorted_doc[edge[1:] - 1]
+        large = several & (np.diff(edge) > self.limits[0]) & (not self.last)
+        several &= ~large
+        if large.any():
+            split, begin = np.isin(code, sorted_code[edge[:-1][large]]), 0
+            for meta, words in self.blocks:
+                end = begin + len(meta[0])
+                if split[begin:end].any():
+                    yield self.dealt(meta, words, split[begin:end])
+                begin = end
         wanted = np.zeros(len(code), bool)
         wanted[order[np.repeat(several, np.diff(edge))]] = True
         lines: dict[int, bytes] = {}
@@ -315,7 +350,7 @@ class _Shard:
         self.blocks = []
 
     def answers(self) -> Iterator[pa.RecordBatch]:
-        self.match()
+        yield from self.match()
         if self.found:
             table = np.array(self.found, np.int64)
             self.found = []
@@ -340,18 +375,18 @@ def _answers(doc: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray
     doc, text, at, size = doc[order], text[order], at[order].astype(np.int32), size[order].astype(np.int32)
     edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]), [True]])).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in (at, size)]
-    codes = pa.nulls(len(edge) - 1, _ARROW.field("codes").type)
-    return pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(text[edge[:-1]]), *lists, codes], schema=_ARROW)
+    none = [pa.nulls(len(edge) - 1, f.type) for f in list(_ARROW)[4:]]
+    return pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(text[edge[:-1]]), *lists, *none], schema=_ARROW)
 
 
-def _match(batches: Iterator[pa.RecordBatch], n: int, matcher: Matcher) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], n: int, m: int, matcher: Matcher, level: int, buckets: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """The rows come sorted by bucket."""
-    now, shard = None, _Shard(n, matcher)
+    now, shard = None, _Shard(n, m, matcher, level, buckets, limits)
     for batch in batches:
         for bucket, meta, words in zip(*batch.columns, strict=True):
             if bucket.as_py() != now:
                 yield from shard.answers()
-                now, shard = bucket.as_py(), _Shard(n, matcher)
+                now, shard = bucket.as_py(), _Shard(n, m, matcher, level, buckets, limits)
             if meta.is_valid:
                 yield from shard.add(meta.as_py(), words.as_py())
             else:  # answers that a task knew before the shuffle
@@ -364,26 +399,23 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(text_col)
 
 
-def removed(docs: DataFrame, matcher: Matcher, n: int, m: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, matcher: Matcher, n: int, m: int, id_col: str = "doc_id", text_col: str = "text", limits: Limits = (GROUP_SEGMENTS, SHARD_SEGMENTS)) -> DataFrame:
     """(doc_id, text_hash, starts, sizes): the removed stretches of words of each document that has any."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), _text_hash(text_col), F.col(text_col))
+    held = source.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // PART_BYTES))
+    buckets = 2 * parts
     sent = source.mapInArrow(lambda it: _send(it, n, m, buckets), "bucket int, meta binary, words binary")
-    dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = written(dealt.mapInArrow(lambda it: _match(it, n, matcher), _FOUND))
-    answers = found.where(F.col("codes").isNull()).select("doc_id", "text_hash", "starts", "sizes")
-    windows = found.where(F.col("codes").isNotNull()).select("doc_id", "text_hash", F.explode(F.arrays_zip("starts", "codes")).alias("w"))
-    windows = windows.select("doc_id", "text_hash", F.col("w.starts").alias("start"), F.col("w.codes.a").alias("a"), F.col("w.codes.b").alias("b"))
-    smallest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-    gone = windows.join(smallest, ["a", "b"]).where(F.col("doc_id") > F.col("least"))
-    streamed = gone.select("doc_id", "text_hash", F.array("start").alias("starts"), F.array(F.lit(n)).alias("sizes"))
-    return (
-        answers.unionByName(streamed)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
-    )
+    found = None
+    for level in range(n - m + 1):
+        dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        rows = written(dealt.mapInArrow(lambda it, level=level: _match(it, n, m, matcher, level, buckets, limits), _FOUND))
+        answers = rows.where(F.col("bucket").isNull()).select("doc_id", "text_hash", "starts", "sizes")
+        found = answers if found is None else found.unionByName(answers)
+        sent = rows.where(F.col("bucket").isNotNull()).select("bucket", "meta", "words")
+        if sent.isEmpty():
+            break
+    return found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,23 +51,24 @@ def test_like_brute_force(spark, operator, n, m, seed):
     assert got(operator.deduplicated(df, n, m)) == brute(rows, n)
 
 
-@pytest.mark.parametrize("operator", [substring_dedup, suffix_array])
-def test_streamed_shards_like_brute_force(spark, monkeypatch, operator):
-    rows = corpus(4, 13)
-    monkeypatch.setattr(windows, "SHARD_SEGMENTS", 3)
-    found = []
-    for shard_rows in (rows,):
-        ids = np.array([d for d, t in shard_rows if d is not None and t], np.int64)
-        texts = [t.encode() for d, t in shard_rows if d is not None and t]
-        assert len(ids) == len(texts)
-        sent = sorted(windows._requests(ids, np.zeros(len(ids), np.uint16), texts, 13, 5, 1), key=lambda r: r[0])
-        shard = windows._Shard(13, operator.match)
-        for _, meta, words in sent:
-            if meta is not None:
-                found += [b for b in shard.add(meta, words)]
-        found += list(shard.answers())
-    assert shard.streams and sum(b.num_rows for b in found) > 0
-    assert all(c is not None for b in found for c in b.column("codes").to_pylist())
+@pytest.mark.parametrize(("operator", "limits"), [(substring_dedup, (2, 10**6)), (suffix_array, (2, 10**6)), (substring_dedup, (10**6, 20))])
+def test_split_minimisers_and_shards_like_brute_force(spark, operator, limits):
+    rows = corpus(4, 13, 30)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows += [(500 + i, f"a{i} b{i % 7} {passage} c{i % 5} d{i}") for i in range(40)]  # one passage, other neighbours
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(operator.deduplicated(df, 13, 10, limits=limits)) == brute(rows, 13)
+
+
+def test_equal_hashes_of_other_words_are_told_apart(monkeypatch):
+    """All segment hashes are made equal: only the words tell which of them a smaller document holds."""
+    real = windows.segments_of
+    monkeypatch.setattr(windows, "segments_of", lambda *a: (*(r := real(*a))[:4], r[4] * np.uint64(0)))
+    texts = [" ".join(f"{a}{i}" for i in range(3)) + " k l m n o p q r s t" for a in "xyx"]
+    sent = list(windows._requests(np.array([1, 2, 3]), np.zeros(3, np.int64), [t.encode() for t in texts], 13, 5, 1))
+    assert sum(meta is not None and len(windows._unpacked(meta, windows._META)[0]) for _, meta, _ in sent) == 2
+    of, at, size, ids, _ = windows._unpacked(sent[-1][2], [np.int32, np.int32, np.int32, np.int64, np.int64])
+    assert ids[of].tolist() == [3] and at.tolist() == [0] and size.tolist() == [13]
 
 
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_array])
@@ -82,6 +83,9 @@ def test_texts_of_one_id_whose_hashes_agree_in_16_bits(spark, operator):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert df.selectExpr("xxhash64(text) & 65535 as h").distinct().count() == 2
     assert got(operator.deduplicated(df)) == brute(rows, operator.WINDOW)
+    words = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, words), (5, words), (5, "short 69490")]
+    assert got(operator.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, operator.WINDOW)
 
 
 def test_empty_table_and_other_columns(spark):
