@@ -1,35 +1,38 @@
 """URL filters by a path-template tree for each host.
 
-A path is cut into segments, and each into its shape: digits, hexadecimal runs and long mixed keys become wildcards, so
-`/en/474.html` is `en / {n}.html`. The tree of a host has one level for each of the first LEVELS segments; what is
-deeper is one more node. Level by level, from the root:
+The tree of a host is grown level by level from the root; a level is one segment of the paths, and all segments count.
 
-- a node with many different children, few urls each, is variable there: its children become one wildcard;
-- children with the same shape and statistically similar label shares (their Wilson intervals overlap and lie on the
-  same side) are merged into one branch, named after the class.
+- Variable segments: a child of a node keeps its name if it holds at least NAMED of the node's urls, so a node has a few
+  named children; all others (numbers, keys, slugs: however many pages there are, each is a small share) become
+  wildcards by their class of writing.
+- Similar branches: children of a node with the same class of writing, and the same usual classes in what follows, are
+  merged where the Wilson intervals of their shares of blocked urls overlap. Children without labels say nothing against
+  any share, so they join where all labelled ones of their kind have become one branch; else they form one of their own.
 
-Labels are the urls that the host and path rules judge. A template is rejected by its smoothed labelled purity: the
-share of blocked ones among its labelled urls, drawn towards PRIOR by STRENGTH urls; unlabelled templates are allowed.
+Labels are the urls that the host and path rules judge. A template, the way from the root to a path's end, is rejected
+by its smoothed labelled purity: the share of blocked ones among its labelled urls, drawn towards PRIOR by STRENGTH urls;
+templates without labels are allowed.
 
-All steps are DataFrame operations on counts: urls are first counted by host and shape, which combines before the
-shuffle, so a host with a third of all rows is as many rows as it has shapes. Pages get their template's verdict by an
-equi-join on host and shapes, which Spark may split where it is skewed.
+All steps are DataFrame operations on counts: urls are first counted by host and path, children by node and segment.
+Both combine before the shuffle; a node, segment or page with a large share of all rows is looked up in a broadcast table
+of at most a few such for each partition. There are as many rounds as the longest path has segments.
 
-Defined results: a null url and one without `://` have empty host and path, no rule, and are allowed; repeated pages
-are judged each; other columns are ignored, whatever their names.
+Defined results: a null url and one without `://` have empty host and path, no rule, and are judged like others of that
+host; repeated pages are judged each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._common import looked_up, with_totals
 from tessera.session import written
 
-#: Segments of a path that are nodes of their own.
-LEVELS = 3
-#: A node with so many children, and fewer urls than FEW a child, is variable.
-MANY, FEW = 20, 8.0
+#: Share of a node's urls from which a child keeps its name.
+NAMED = 1 / 16
 #: Share of blocked urls towards which a template's share is drawn, and the number of urls which that is worth.
 PRIOR, STRENGTH = 0.3, 4.0
 #: Templates with a smoothed share of this much are rejected.
@@ -57,18 +60,18 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return chosen
 
 
-def _shape(segment: Column) -> Column:
-    """A segment without what varies in its writing."""
-    s = F.regexp_replace(segment, r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "{u}")
-    s = F.regexp_replace(s, r"(?<![0-9A-Za-z{])(?=[0-9a-f]*[0-9])[0-9a-f]{12,}(?![0-9A-Za-z])", "{h}")
-    return F.regexp_replace(s, r"[0-9]+", "{n}")
-
-
-def shapes_of(path: Column, levels: int = LEVELS) -> list[Column]:
-    """One column for each level, and one for what is deeper; null where the path has ended."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    deeper = F.when(F.size(parts) > levels, F.lit("**"))
-    return [*[_shape(F.get(parts, F.lit(i))) for i in range(levels)], deeper]
+def class_of(segment: Column) -> Column:
+    """The class of writing of a segment: number, hexadecimal run, UUID, words, or mixed, with its file extension."""
+    extension = F.regexp_extract(segment, r"(?s)[^.](\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)
+    stem = F.substring(segment, F.lit(1), F.length(segment) - F.length(extension))
+    kind = (
+        F.when(stem.rlike(r"^[0-9]+$"), "{n}")
+        .when(stem.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), "{u}")
+        .when(stem.rlike(r"^(?=.*[0-9])[0-9a-fA-F]{12,}$"), "{h}")
+        .when(stem.rlike(r"[0-9]"), "{x}")
+        .otherwise("{w}")
+    )
+    return F.concat(kind, F.lower(extension))
 
 
 def _wilson(blocked: Column, labelled: Column) -> tuple[Column, Column]:
@@ -80,61 +83,69 @@ def _wilson(blocked: Column, labelled: Column) -> tuple[Column, Column]:
     return middle - half, middle + half
 
 
-def tree(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Shapes to templates: (host, s0.., t0.., template, n, blocked, labelled, purity, rejected).
-
-    urls: host, path and the struct `rule`. s0.. are a path's shapes, t0.. its nodes in the generalised tree.
+_COUNTS = ["n", "blocked", "labelled"]
+
+
+def _branches(children: DataFrame) -> DataFrame:
+    """(host, node, label, branch, name, purity, _rows) for the children (host, node, label, kind, after, counts) of all nodes."""
+    groups = children.groupBy("host", "node", "label").agg(*[F.sum(c).alias(c) for c in _COUNTS], F.max("kind").alias("kind"), F.max_by("after", F.struct("n", "after")).alias("after"), F.count(F.lit(1)).alias("_rows"))
+    low, high = _wilson(F.col("blocked"), F.col("labelled"))
+    told = F.col("labelled") > 0
+    alike = Window.partitionBy("host", "node", "kind", "after")  # a few named children, and one for each class of writing
+    groups = groups.withColumns({"low": F.when(told, low).otherwise(2.0), "high": F.when(told, high)})
+    rising = alike.orderBy("low", "label")
+    before = F.max("high").over(rising.rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("begins", told & (before.isNull() | (F.col("low") > before)))
+    groups = groups.withColumn("island", F.sum(F.col("begins").cast("int")).over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = groups.withColumn("islands", F.max("island").over(alike))
+    groups = groups.withColumn("island", F.when(told | (F.col("islands") == 1), F.col("island")).otherwise(0))
+    whole = Window.partitionBy("host", "node", "kind", "after", "island")
+    purity = (F.sum("blocked").over(whole) + PRIOR * STRENGTH) / (F.sum("labelled").over(whole) + STRENGTH)
+    name = F.when((F.count(F.lit(1)).over(whole) == 1) & F.col("label").startswith("="), F.substring("label", 2, 1 << 30)).otherwise(F.col("kind"))
+    branch = F.xxhash64("node", "kind", "after", "island")
+    return groups.select("host", "node", "label", branch.alias("branch"), name.alias("name"), purity.alias("purity"), "_rows")
+
+
+def tree(urls: DataFrame) -> DataFrame:
+    """(host, path, template, purity, rejected, _rows) for each path; urls: host, path and the struct `rule`. _rows counts its urls."""
+    verdict = F.col("rule.verdict")
+    counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(verdict == "block", 1)).alias("blocked"), F.count(verdict).alias("labelled")]
+    paths = urls.groupBy("host", "path").agg(*counts)
+    rest = F.filter(F.split("path", "/"), lambda s: s != "")
+    active = written(paths.select("host", "path", *_COUNTS, rest.alias("rest"), F.lit(0).cast("long").alias("node"), F.lit("").alias("template")))
+    ended: list[DataFrame] = []
+    while not ended or not active.isEmpty():
+        segment = F.coalesce(F.get("rest", F.lit(0)), F.lit(""))  # empty where the path has ended
+        here = active.withColumn("segment", segment)
+        after = F.array_join(F.transform(F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))), lambda s: F.regexp_extract(class_of(s), r"^\{.\}", 0)), "/")
+        kinds = here.groupBy("host", "node", "segment", after.alias("after")).agg(*[F.sum(c).alias(c) for c in _COUNTS], F.count(F.lit(1)).alias("paths"))
+        usual = F.max_by("after", F.struct("n", "after")).alias("after")
+        children = kinds.groupBy("host", "node", "segment").agg(usual, *[F.sum(c).alias(c) for c in [*_COUNTS, "paths"]])
+        children = with_totals(written(children), ["host", "node"], urls=F.sum("n"))
+        kind = F.when(F.col("segment") == "", "").otherwise(class_of(F.col("segment")))
+        label = F.when(F.col("segment") == "", "").when(F.col("n") >= NAMED * F.col("urls"), F.concat(F.lit("="), F.col("segment"))).otherwise(F.concat(F.lit("~"), kind))
+        children = written(children.withColumns({"kind": kind, "label": label}))
+        children = looked_up(children, written(_branches(children)), ["host", "node", "label"])
+        placed = looked_up(here, children.select("host", "node", "segment", "branch", "name", "purity", F.col("paths").alias("_rows")), ["host", "node", "segment"])
+        placed = written(placed)
+        ended.append(placed.where(F.col("segment") == "").select("host", "path", "template", "purity", F.col("n").alias("_rows")))
+        longer = placed.where(F.col("segment") != "")
+        step = F.concat("template", F.lit("/"), "name")
+        active = longer.select("host", "path", *_COUNTS, F.slice("rest", 2, F.size("rest")).alias("rest"), F.col("branch").alias("node"), step.alias("template"))
+    found = reduce(DataFrame.unionByName, ended)
+    return found.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template"))).withColumn("rejected", F.col("purity") >= REJECT)
+
+
+def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labels: Column | None = None) -> DataFrame:
+    """(row, host, path, rule, verdict, template, purity): each page's verdict, its rule's or else its template's.
+
+    labels, a condition on `row`, tells from which ruled pages the method may learn (all of them unless given).
     """
-    names = [f"s{i}" for i in range(levels + 1)]
-    counted = urls.select("host", *[c.alias(n) for c, n in zip(shapes_of(F.col("path"), levels), names, strict=True)], F.col("rule.verdict").alias("v"))
-    leaves = written(
-        counted.groupBy("host", *names).agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("v") == "block", 1)).alias("blocked"), F.count("v").alias("labelled")
-        )
-    )
-    above: list[str] = []
-    for i in range(levels + 1):
-        s, t = f"s{i}", f"t{i}"
-        children = leaves.groupBy("host", *above, s).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-        low, high = _wilson(F.col("blocked"), F.col("labelled"))
-        side = F.when(F.col("labelled") == 0, "unlabelled").when(low > 0.5, "blocked").when(high < 0.5, "allowed").otherwise("mixed")
-        shaped = F.when(F.col(s).isNull(), F.lit(None)).when(F.col(s).rlike(r"\{[nhu]\}"), F.col(s)).otherwise(F.lit("*"))
-        parents = children.groupBy("host", *above).agg(F.count(s).alias("_children"), F.sum("n").alias("_urls"))
-        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in ["host", *above]]
-        variable = (F.col("_children") >= MANY) & (F.col("_urls") < FEW * F.col("_children"))
-        # Similar branches of a variable node are one branch; a node that isn't variable keeps its children apart.
-        node = F.when(variable, F.concat(shaped, F.lit("~"), side)).otherwise(F.col(s))
-        condition = same[0]
-        for x in same[1:]:
-            condition = condition & x
-        nodes = children.alias("c").join(parents.alias("p"), condition).select(*[F.col(f"c.{k}").alias(k) for k in ["host", *above, s]], node.alias(t))
-        on = F.lit(True)
-        for k in ["host", *above, s]:
-            on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}"))
-        leaves = written(leaves.alias("l").join(nodes.alias("m"), on).select("l.*", f"m.{t}"))  # counts by shape, few rows
-        above.append(t)
-    nodes = ["host", *above]
-    purity = (F.sum("blocked") + PRIOR * STRENGTH) / (F.sum("labelled") + STRENGTH)
-    judged = leaves.groupBy(*nodes).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), purity.alias("purity"))
-    on = F.lit(True)
-    for k in nodes:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"j.{k}"))
-    template = F.concat(F.lit("/"), F.concat_ws("/", *[F.regexp_replace(F.col(f"l.{t}"), "~.*", "") for t in above]))
-    return leaves.alias("l").join(judged.alias("j"), on).select(
-        *[F.col(f"l.{k}").alias(k) for k in ["host", *names, *above]], template.alias("template"), "j.n", "j.blocked", "j.labelled", "j.purity", (F.col("j.purity") >= REJECT).alias("rejected")
-    )
-
-
-def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, levels: int = LEVELS) -> DataFrame:
-    """(row, host, path, rule, verdict, template, purity): each page's verdict, its rule's or else its template's."""
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(url_col).alias("url"))
     urls = rows.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    names = [f"s{i}" for i in range(levels + 1)]
-    templates = tree(urls.select("host", "path", "rule"), levels).select("host", *names, "template", "purity", "rejected")
-    # Null shapes are written as empty ones here: segments are never empty.
-    key = lambda df, at: F.concat_ws("\u0001", F.col(f"{at}.host"), *[F.coalesce(F.col(f"{at}.{n}"), F.lit("")) for n in names])
-    shaped = urls.select("*", *[c.alias(n) for c, n in zip(shapes_of(F.col("path"), levels), names, strict=True)]).alias("u")
-    joined = shaped.join(templates.alias("t"), key(shaped, "u") == key(templates, "t"), "left")
-    verdict = F.coalesce(F.col("u.rule.verdict"), F.when(F.col("t.rejected"), "block").otherwise("allow"))
-    return joined.select("u.row", "u.host", "u.path", F.col("u.rule.rule").alias("rule"), verdict.alias("verdict"), "t.template", F.round("t.purity", 6).alias("purity"))
+    learned = urls if labels is None else urls.withColumn("rule", F.when(labels, F.col("rule")))
+    judged = looked_up(urls, written(tree(learned.select("host", "path", "rule"))), ["host", "path"])
+    learnt = F.when(F.col("rejected"), "block").otherwise("allow")
+    verdict = F.coalesce(F.col("rule.verdict"), learnt)
+    return judged.select("row", "host", "path", F.col("rule.rule").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"), learnt.alias("learnt"))

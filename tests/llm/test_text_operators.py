@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,13 +196,90 @@ def test_urls_like_brute_force(spark):
 
 
 def test_similar_unlabelled_urls_follow_their_template(spark):
-    """One shape under a host, nearly all of it labelled bad: the rest of that template goes too, other templates stay."""
-    rules = [("h.com", "/p/1", "block")]
-    urls = [f"http://h.com/p/{i}" for i in range(100, 200)] + [f"http://h.com/p/{i}" for i in range(20, 24)] + [f"http://h.com/q/{i}" for i in range(50)]
+    """Numbers under a host, nearly all labelled bad: the rest of these goes too, other structures and hosts stay."""
+    rules = [("h.com", "/p/1", "block"), ("h.com", "/z", "allow")]
+    urls = [f"http://h.com/p/{i}" for i in range(100, 200)] + [f"http://h.com/p/{i}" for i in range(20, 24)] + [f"http://h.com/q/{'ab'[i % 2]}-slug" for i in range(50)]
+    urls += [f"http://h.com/z/{i}" for i in range(40)] + [f"http://i.com/p/{i}" for i in range(5)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     rows = {r.row.page_id: r for r in url_templates.judge(df, rules=rules).collect()}
-    assert all(rows[i].verdict == "block" for i in range(104)) and all(rows[i].verdict == "allow" for i in range(104, 154))
-    assert rows[1].rule == "h.com/p/1" and rows[101].rule is None and rows[100].template == rows[103].template
+    assert all(rows[i].verdict == "block" for i in range(104)) and all(rows[i].verdict == "allow" for i in range(104, 199))
+    assert rows[1].rule == "h.com/p/1" and rows[101].rule is None and rows[100].template == rows[103].template == "/p/{n}"
+
+
+def written_class(segment):
+    extension = (re.search(r"(?s)[^.](\.[A-Za-z][A-Za-z0-9]{0,4})$", segment) or [None, ""])[1]
+    stem = segment[: len(segment) - len(extension)]
+    kinds = [("{n}", r"[0-9]+"), ("{u}", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), ("{h}", r"(?=.*[0-9])[0-9a-fA-F]{12,}"), ("{x}", r"(?s).*[0-9].*")]
+    return next((k for k, p in kinds if re.fullmatch(p, stem)), "{w}") + extension.lower()
+
+
+def brute_tree(urls):
+    """{(host, path): purity} for (host, path, verdict or None): one node at a time, by recursion."""
+    out = {}
+
+    def wilson(b, n):
+        p, z = b / n, 1.96
+        middle, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+        return middle - half, middle + half
+
+    def grow(host, members):  # members: (segments left, path, verdict)
+        by = {}
+        for m in members:
+            by.setdefault(m[0][0] if m[0] else "", []).append(m)
+        labels, usual = {}, {}
+        for segment, own in by.items():
+            kind = written_class(segment) if segment else ""
+            label = "" if not segment else "=" + segment if len(own) >= len(members) / 16 else "~" + kind
+            labels.setdefault(label, (kind, []))[1].extend(own)
+            after = Counter("/".join(written_class(s)[:3] for s in m[0][1:]) for m in own)
+            usual.setdefault(label, []).append((len(own), max(after, key=lambda a: (after[a], a))))
+        alike = {}
+        for label, (kind, own) in labels.items():
+            alike.setdefault((kind, max(usual[label])[1]), []).append((label, own))
+        for groups in alike.values():
+            told, silent = [], []
+            for label, own in groups:
+                marks = [m[2] for m in own if m[2]]
+                (told if marks else silent).append((*(wilson(marks.count("block"), len(marks)) if marks else ()), label, own))
+            islands, top = [], None
+            for low, high, _, own in sorted(told, key=lambda t: (t[0], t[2])):
+                if top is None or low > top:
+                    islands.append([])
+                islands[-1] += own
+                top = high if top is None else max(top, high)
+            rest = [m for _, own in silent for m in own]
+            if len(islands) == 1:
+                islands[0] += rest
+            elif rest:
+                islands.append(rest)
+            for branch in islands:
+                marks = [m[2] for m in branch if m[2]]
+                for segments, path, _ in branch:
+                    if not segments:
+                        out[host, path] = (marks.count("block") + 1.2) / (len(marks) + 4)
+                longer = [(m[0][1:], *m[1:]) for m in branch if m[0]]
+                if longer:
+                    grow(host, longer)
+
+    for host in {u[0] for u in urls}:
+        grow(host, [([s for s in p.split("/") if s], p, v) for h, p, v in urls if h == host])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_like_a_brute_force_tree(spark, seed):
+    rnd = random.Random(seed)
+    part = lambda: rnd.choice([str(rnd.randint(1, 900)), rnd.choice(["de", "en", "fr"]), f"a{rnd.randint(1, 5)}", f"{rnd.randint(1, 40)}.html", "%012x" % (rnd.getrandbits(40) | 1 << 44), "slug-" + "xyz"[rnd.randrange(3)]])
+    urls = [f"http://{rnd.choice(['h.com', 'i.com', 'j.com'])}/{rnd.choice(['de', 'en', 'fr', 'es', 'u'])}/" + "/".join(part() for _ in range(rnd.choice([0, 1, 1, 1, 3]))) for _ in range(400)]
+    urls += urls[:40] + ["nothing", None]
+    rules = [("h.com", "/de/", "block"), ("h.com", "/fr/1", "allow"), ("i.com", "/en/2", "block"), ("i.com", "/u/", "allow"), ("j.com", "/de/", "block")]
+    found = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), rules=rules).collect()
+    verdicts = [v for _, _, v in rules]
+    names = [h + p for h, p, _ in rules]
+    want = brute_tree([(r.host, r.path, verdicts[names.index(r.rule)] if r.rule else None) for r in found])
+    assert len(found) == len(urls) and all(r.purity == pytest.approx(want[r.host, r.path], abs=1e-6) for r in found)
+    assert all(r.verdict == ("block" if want[r.host, r.path] >= url_templates.REJECT else "allow") for r in found if not r.rule)
+    assert {r.verdict for r in found if not r.rule} == {"allow", "block"}
 
 
 # Neighbours
