@@ -29,7 +29,7 @@ def annotate(rows: DataFrame, column: str, compute: Callable[[pa.Array], list[pa
 
 
 #: Rows of a key that a join may always put into one task, and the keys for each partition that are looked up at most.
-HUB, HUBS = 1000, 4
+HUB, HUBS = 64, 4
 
 
 def looked_up(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
