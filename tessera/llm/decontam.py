@@ -2,13 +2,13 @@
 
 Texts are lower-cased in A-Z, and a word is a run of letters, digits and non-ASCII bytes. Each benchmark item gives its
 windows of N words (one window of all its words, if it has fewer). The hashes of all windows are broadcast; documents
-are scanned once, hits of the hash are verified word by word, and the words inside occurring windows are marked.
+are scanned, hits of the hash are verified word by word, and the words inside occurring windows are marked.
 
-A broadcast holds items of at most BLOCK_BYTES of text. A larger benchmark is scanned in blocks of that size: each
-block gives its own marks, and the marks of a document are united by its key.
+A broadcast holds items of about BLOCK_BYTES of text. A larger benchmark is scanned in blocks of that size, one after
+the other: each adds its marks to those of the one before.
 
 Defined results: a null or empty text has no words and no hits; items without words take no part; equal items each
-count; repeated documents are marked each; other columns are ignored, whatever their names.
+count; items without an id count as one, which has no name in the list; repeated documents are marked each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import as_rows, grouped
+from tessera.session import written
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast.
-BLOCK_BYTES = 32_000_000
+#: Bytes of benchmark text in one broadcast. Its set takes about 5 times as much, and 25 times if all words differ.
+BLOCK_BYTES = 8_000_000
+#: Windows of documents and of items that are compared at a time.
+PAIRS = 1 << 20
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -38,84 +41,103 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_KEEP).split()
 
 
-def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive ids."""
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    for j in range(n):
-        out = out * _FACTOR + ids[j : j + len(out)]
-    return out ^ (out >> np.uint64(29))
-
-
 class WindowSet:
-    """The windows of benchmark items, by number of words."""
+    """The windows of benchmark items, by number of words, in arrays: 16 bytes a window, 4 a word, and the words once."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
+        names = sorted({str(i) for i, _ in items if i is not None})
+        number = {name: k for k, name in enumerate(names)}
+        self.names: list[str | None] = [*names, None]  # a null id is one item too, without a name
         self.ids: dict[bytes, int] = {}
-        owners: dict[int, dict[tuple[bytes, ...], set]] = {}
+        flat: list[np.ndarray] = []
+        owner, size = [], []
         for item, text in items:
             words = words_of(text or "")
             if words:
-                n = min(window, len(words))
-                of = owners.setdefault(n, {})
-                for i in range(len(words) - n + 1):
-                    of.setdefault(tuple(words[i : i + n]), set()).add(item)
-        for of in owners.values():
-            for gram in of:
-                for word in gram:
-                    self.ids.setdefault(word, len(self.ids) + 1)
-        self.sizes = {}
-        mixed = self._mix(np.arange(len(self.ids) + 1, dtype=np.uint64))
-        mixed[0] = 0
-        self.mixed = mixed
-        for n, of in owners.items():
-            hashes = {}
-            for gram, who in of.items():
-                h = int(_rolled(mixed[[self.ids[w] for w in gram]], n)[0])
-                hashes.setdefault(h, []).append((gram, frozenset(who)))
-            self.sizes[n] = (np.array(sorted(hashes), np.uint64), hashes)
+                flat.append(np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in words), np.int32, len(words)))
+                owner.append(len(names) if item is None else number[str(item)])
+                size.append(len(words))
+        self.words = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.mixed = self._mix(np.arange(len(self.ids) + 1, dtype=np.uint64))
+        sizes, owners = np.array(size, np.int64), np.array(owner, np.int32)
+        begins = np.cumsum(sizes) - sizes
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(sizes, window)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, window) == n)
+            count = sizes[own] - n + 1
+            start = np.repeat(begins[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            of = np.repeat(owners[own], count)
+            code = self._codes(self.words, start, n)
+            order = np.lexsort((start, of, code))
+            code, of, start = code[order], of[order], start[order]
+            again = np.zeros(len(code), bool)  # the same window of the same item
+            alike = 1 + np.flatnonzero((code[1:] == code[:-1]) & (of[1:] == of[:-1]))
+            again[alike] = self._equal(self.words, start[alike], self.words, start[alike - 1], n)
+            self.sizes[n] = code[~again], start[~again].astype(np.int32 if len(self.words) < 1 << 31 else np.int64), of[~again]
 
     @staticmethod
     def _mix(x: np.ndarray) -> np.ndarray:
         x = x * _FACTOR
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(27))
+        x = x ^ (x >> np.uint64(27))
+        x[:1] = 0
+        return x
+
+    def _codes(self, words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n words from each start."""
+        h = np.zeros(len(start), np.uint64)
+        for j in range(n):
+            h = h * _FACTOR + self.mixed[words[start + j]]
+        return h ^ (h >> np.uint64(29))
 
-    def scan(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, set]]:
-        """For each text's words: which of them are hit, and the items whose windows occur."""
+    @staticmethod
+    def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        same = np.ones(len(at), bool)
+        for j in range(n):
+            same &= a[at + j] == b[to + j]
+        return same
+
+    def scan(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, list[str | None]]]:
+        """For each text's words: which of them are hit, and the items whose windows occur, by name."""
         get = self.ids.get
-        sizes = [len(t) for t in texts]
-        starts = np.cumsum([0, *sizes])
-        flat = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(starts[-1]))
+        starts = np.cumsum([0, *map(len, texts)])
+        flat = np.fromiter((get(w, 0) for t in texts for w in t), np.int32, int(starts[-1]))
         hit = np.zeros(len(flat) + 1, np.int32)
-        found: list[set] = [set() for _ in texts]
-        known = flat > 0
-        # A window can only start where as many known words follow in the same text.
-        run_end = np.concatenate([[0], np.cumsum(known)])
-        for n, (codes, hashes) in self.sizes.items():
-            if len(flat) < n:
-                continue
-            at = np.flatnonzero(run_end[n:] - run_end[: len(flat) - n + 1] == n)
-            if not len(at):
-                continue
+        known = np.concatenate([[0], np.cumsum(flat > 0)])
+        pairs = [np.zeros(0, np.int64)]
+        for n, (codes, begins, owners) in self.sizes.items():
+            # A window can only start where as many known words follow in the same text.
+            at = np.flatnonzero(known[n:] - known[: len(flat) - n + 1] == n) if len(flat) >= n else np.zeros(0, np.int64)
             own = np.searchsorted(starts, at, "right") - 1
             inside = at + n <= starts[own + 1]
             at, own = at[inside], own[inside]
-            h = np.zeros(len(at), np.uint64)
-            for j in range(n):
-                h = h * _FACTOR + self.mixed[flat[at + j]]
-            h = h ^ (h >> np.uint64(29))
-            slot = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
-            same = codes[slot] == h
-            for i, doc, code in zip(at[same].tolist(), own[same].tolist(), h[same].tolist(), strict=True):
-                begin = i - int(starts[doc])
-                gram = tuple(texts[doc][begin : begin + n])
-                for other, who in hashes[code]:
-                    if other == gram:
-                        found[doc] |= who
-                        hit[i] += 1
-                        hit[i + n] -= 1
+            code = self._codes(flat, at, n)
+            first, last = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
+            held = last - first
+            at, own, first, held = at[held > 0], own[held > 0], first[held > 0], held[held > 0]
+            for i, j in _runs(held, PAIRS):  # windows and the items that have them, so many at a time
+                many = held[i:j]
+                entry = np.repeat(first[i:j] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                place, doc = np.repeat(at[i:j], many), np.repeat(own[i:j], many)
+                same = self._equal(flat, place, self.words, begins[entry], n)
+                found = np.unique(place[same])
+                np.add.at(hit, found, 1)
+                np.add.at(hit, found + n, -1)
+                pairs.append(np.unique(doc[same] * len(self.names) + owners[entry[same]]))
         covered = np.cumsum(hit[:-1]) > 0
-        return [(covered[starts[k] : starts[k + 1]], found[k]) for k in range(len(texts))]
+        pair = np.unique(np.concatenate(pairs))
+        edge = np.searchsorted(pair // len(self.names), np.arange(len(texts) + 1))
+        items = [[self.names[k] for k in (pair[i:j] % len(self.names)).tolist()] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return [(covered[starts[k] : starts[k + 1]], items[k]) for k in range(len(texts))]
+
+
+def _runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of counts with a sum of at most `most`, or of one count."""
+    total, at = np.concatenate([[0], np.cumsum(counts)]), 0
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield at, end
+        at = end
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
@@ -132,12 +154,17 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
     """(row, n_words, hits, items) for each document: all its columns, the positions of hit words, the ids of occurring items.
 
     With several blocks the scans follow one another, and each adds its marks to those of the one before; no rows move.
+    The marks are written between blocks, and a block's broadcast is freed before the next one is made.
     """
     spark = docs.sparkSession
     empty = F.array().cast("array<int>")
     found = as_rows(docs).select("row", F.lit(0).cast("long").alias("n_words"), empty.alias("hits"), F.array().cast("array<string>").alias("items"))
     at = found.schema["row"].dataType.fieldNames().index(text_col)
+    shared = None
     for block in _blocks(benchmark, "item_id", "text"):
+        if shared is not None:
+            found = written(found)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(WindowSet(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -148,12 +175,12 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
                     for covered, who in windows.scan([words_of(t) for t in group]):
                         sizes.append(len(covered))
                         hits.append(np.flatnonzero(covered).astype(np.int32))
-                        items.append(sorted(map(str, who)))
+                        items.append(who)
                 for k, (old_hits, old_items) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                     if len(old_hits):
                         hits[k] = np.union1d(hits[k], np.array(old_hits.as_py(), np.int32))
                     if len(old_items):
-                        items[k] = sorted({*items[k], *old_items.as_py()})
+                        items[k] = sorted({*items[k], *old_items.as_py()}, key=lambda name: (name is None, name))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
                     ["row", "n_words", "hits", "items"],

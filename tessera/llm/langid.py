@@ -6,7 +6,8 @@ the language whose compressed chunks are the smallest in sum is chosen. The marg
 more, as a share of it; predictions with a margin under MARGIN are not accepted.
 
 The sample: for each language, of the labelled documents with a letter, the one with the smallest hash in each of
-SAMPLE_ROWS hash buckets, and of its text up to PIECE characters from the middle. It needs one aggregation with
+SAMPLE_ROWS hash buckets, and of its text up to PIECE characters from the middle, as a dictionary holds about
+SAMPLE_ROWS * PIECE characters; for the LANGS languages with the most labelled documents. It needs one aggregation with
 map-side combination, so neither a frequent language nor a large table gathers in one task.
 
 Defined results: a null text, and one without any letter, is `und` with score 0 and not accepted; ties go to the
@@ -26,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._common import annotate, as_rows
+from tessera.session import written
 
 #: Labelled documents in the sample of a language, and characters taken of each.
 SAMPLE_ROWS, PIECE = 256, 400
+#: Languages that are learned: those with the most labelled documents.
+LANGS = 512
 #: Bytes compressed at a time: a dictionary tells most about short stretches.
 CHUNK = 1024
 #: Predictions with a narrower margin are not accepted.
@@ -44,7 +48,7 @@ def letters(text: str) -> bytes:
 
 
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Language to sampled texts, most frequent language first; at most `rows` pieces a language come to the driver."""
+    """Language to sampled texts, most frequent language first; at most `rows` pieces for each of LANGS languages come to the driver."""
     hashed = F.xxhash64(F.col(key_col).cast("string"))
     piece = F.substring(F.col(text_col), F.greatest(F.lit(1), ((F.length(text_col) - PIECE) / 2).cast("int")), F.lit(PIECE))
     picked = (
@@ -54,8 +58,10 @@ def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
         .agg(F.min(F.struct("h", "piece")).alias("least"), F.count(F.lit(1)).alias("n"))
         .select("lang", "bucket", "least.piece", "n")
     )
+    picked = written(picked)
+    frequent = picked.groupBy("lang").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS).select("lang")
     found: dict[str, list[tuple[int, str, int]]] = {}
-    for r in picked.collect():
+    for r in picked.join(F.broadcast(frequent), "lang").collect():
         found.setdefault(r.lang, []).append((r.bucket, r.piece, r.n))
     order = sorted(found, key=lambda lang: (-sum(n for _, _, n in found[lang]), lang))
     return {lang: [p for _, p, _ in sorted(found[lang])] for lang in order}

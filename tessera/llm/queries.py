@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, cotrain, credentials, decontam, langid, order_minhash, substring_dedup, suffix_array, url_templates
-from tessera.session import table
+from tessera.session import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _dedup_digest(rows: DataFrame) -> DataFrame:
@@ -16,24 +20,24 @@ def _dedup_digest(rows: DataFrame) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dedup_digest(substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return _dedup_digest(substring_dedup.deduplicated(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order_minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = order_minhash.near_copies(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("row.doc_id", "class_id", (F.col("row.doc_id") != F.col("class_id")).alias("duplicate"))
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dedup_digest(suffix_array.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return _dedup_digest(suffix_array.deduplicated(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cotrain.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotrain.scored(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     return langid.predict(docs).select(
         "row.doc_id", F.coalesce(langid.held_out("row.doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted"
     )
@@ -55,12 +59,12 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     return credentials.report(docs).select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

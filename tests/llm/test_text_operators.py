@@ -54,6 +54,13 @@ def test_decontamination_like_brute_force(spark, monkeypatch, block):
     assert decontam.report(df, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_count_as_one(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, text), (None, text + " more"), (7, text)], "item_id long, text string")
+    row = decontam.report(spark.createDataFrame([(1, "x " + text)], "doc_id long, text string"), items).first()
+    assert row.n_hit == 12 and row.n_items == 2 and row.items_sha256 == hashlib.sha256(b"7").hexdigest()
+
+
 # Languages
 
 
