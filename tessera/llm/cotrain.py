@@ -1,17 +1,19 @@
 """Quality classifier by co-training.
 
 Two classifiers see a document from two sides: its text (hashed word counts and shares of byte classes) and its
-metadata (language, source, length). Both start from labelled documents. In each round either one labels the unlabelled
-documents that it is most certain of, and the other learns from these too. Each is then calibrated on labelled
-documents that it hasn't learned from, and the calibrated views are combined to score every document, whole texts.
+metadata (language, source, length). Both start from labelled documents. In each round both views score every unlabelled
+document; either labels the share of them that it is most certain of, and the other learns from these too. Each is
+then calibrated on labelled documents that it hasn't learned from, and the calibrated views are combined to score every
+document, whole texts.
 
-Both learn from bounded samples: LABELLED labelled and UNLABELLED other documents, chosen by a hash of their id; all
-documents are scored. A document is good if its quality is 1 and it isn't toxic.
+A fit takes bounded samples of labelled rows: LABELLED of either class (toxic ones count as bad) of the given labels, and
+PSEUDO of either class of a round's pseudo-labels, chosen by a hash. Scoring, and the thresholds of what is certain,
+cover all documents. A document is good if its quality is 1 and it isn't toxic.
 
 Defined results: a null text is scored as the empty one and null metadata as values of their own; documents with
-several labels take the lowest of each; labels of unknown documents and null labels take no part; if no sampled label
-is bad, or none is good, scores are the smoothed share of good ones; repeated rows are scored each; other columns are
-ignored, whatever their names.
+several labels take the lowest of each, and of rows with one id the one with the smallest text hash is learned from;
+labels of unknown documents and null labels take no part; if too few sampled labels are bad, or good, scores are the
+smoothed share of good ones; repeated rows are scored each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents to learn from, at most about.
-LABELLED, UNLABELLED = 5000, 4000
+from tessera.session import written
+
+#: Labelled documents to learn from, and pseudo-labelled ones that a view learns from in a round: at most about so many of either class.
+LABELLED, PSEUDO = 2500, 600
 #: Hashed words; values of the metadata view.
 WORD_BINS, META_BINS = 2048, 128
 #: Rounds of exchange, and the share of the unlabelled documents that a view labels for the other in each, by class.
@@ -86,48 +90,49 @@ class Logistic:
         return x @ self.w + self.b
 
 
+WIDTH = WORD_BINS + _SIGNS + 2
+
+
 class CoTrained:
-    """Both views with their calibration."""
+    """Both views with their calibration; `share` is that of good ones among all labels."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, free_text: np.ndarray, free_meta: np.ndarray) -> None:
-        self.prior = float((y.sum() + 1) / (len(y) + 2))
-        self.usable = len(set(y.tolist())) == 2 and min(y.sum(), len(y) - y.sum()) >= 5
-        if not self.usable:
-            return
+    def __init__(self, views: np.ndarray, y: np.ndarray, share: float) -> None:
+        self.views, self.y, self.prior = views, y, share
+        self.usable = min((y > 0).sum(), (y == 0).sum()) >= 5
         held = np.arange(len(y)) % 5 == 0
-        if len(set(y[held].tolist())) < 2:
-            held = np.zeros(len(y), bool)
-        learn = ~held
-        extra: dict[str, tuple[np.ndarray, np.ndarray]] = {v: (np.zeros(0, np.int64), np.zeros(0, np.float32)) for v in ("text", "meta")}
-        views = {"text": (text, free_text), "meta": (meta, free_meta)}
-        models: dict[str, Logistic] = {}
-        for round_ in range(ROUNDS + 1):
-            for name, (x, free) in views.items():
-                at, given = extra[name]
-                models[name] = Logistic(x.shape[1]).fit(np.concatenate([x[learn], free[at]]), np.concatenate([y[learn], given]).astype(np.float32))
-            if round_ == ROUNDS or not len(free_text):
-                break
-            for name, other in (("text", "meta"), ("meta", "text")):
-                m = models[name].margin(views[name][1])
-                count = max(1, int(SHARE * len(m) * (round_ + 1)))
-                order = np.argsort(m, kind="stable")
-                # Certain ones only: a view that can't tell (its margins are small) labels nothing for the other.
-                low, high = order[: max(1, int(count * (1 - self.prior)))], order[-max(1, int(count * self.prior)) :]
-                low, high = low[m[low] < -2], high[m[high] > 2]
-                extra[other] = np.concatenate([low, high]), np.concatenate([np.zeros(len(low), np.float32), np.ones(len(high), np.float32)])
-        self.models = models
-        on = held if held.any() else learn
-        both = np.stack([np.clip(models["text"].margin(text[on]), -12, 12), np.clip(models["meta"].margin(meta[on]), -12, 12)], axis=1) / 4
-        self.mix = self._calibrated(both.astype(np.float32), y[on])
+        self.held = held if len(set(y[held].tolist())) == 2 else np.zeros(len(y), bool)
+        if self.usable:
+            self.fit({})
+
+    def fit(self, extra: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fit each view to the labels it may learn from and to those that the other gave; then calibrate."""
+        self.models = {}
+        for name, of in (("text", slice(0, WIDTH)), ("meta", slice(WIDTH, None))):
+            more, given = extra.get(name, (np.zeros((0, self.views.shape[1]), np.float32), np.zeros(0, np.float32)))
+            x = np.concatenate([self.views[~self.held, of], more[:, of]])
+            self.models[name] = Logistic(x.shape[1]).fit(x, np.concatenate([self.y[~self.held], given]).astype(np.float32))
+        on = self.held if self.held.any() else ~self.held
+        margins = np.stack(self.margins(self.views[on, :WIDTH], self.views[on, WIDTH:]), axis=1)
+        self.mix = self._calibrated(margins.astype(np.float32), self.y[on], self.prior)
+
+    def margins(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.clip(self.models[n].margin(x), -12, 12) / 4 for n, x in (("text", text), ("meta", meta)))
+
+    def without_rows(self) -> CoTrained:
+        """What scoring needs."""
+        other = object.__new__(CoTrained)
+        other.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("views", "y", "held")}
+        return other
 
     @staticmethod
-    def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-        """Weights of both margins and a constant that give probabilities; no weight is negative."""
+    def _calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float, float]:
+        """Weights of both margins and a constant that give probabilities, classes as frequent as among all labels; no weight is negative."""
         w, b = np.array([1.0, 0.0]), 0.0
+        each = np.where(y > 0, share / max((y > 0).mean(), 1e-6), (1 - share) / max((y == 0).mean(), 1e-6)) / len(y)
         for _ in range(600):
-            error = 1 / (1 + np.exp(-(x @ w + b))) - y
-            w = np.maximum(0, w - 1.0 * (x.T @ error / len(y) + 1e-3 * w))
-            b -= 1.0 * float(error.mean())
+            error = (1 / (1 + np.exp(-(x @ w + b))) - y) * each
+            w = np.maximum(0, w - 1.0 * (x.T @ error + 1e-3 * w))
+            b -= 1.0 * float(error.sum())
         return float(w[0]), float(w[1]), b
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +140,7 @@ class CoTrained:
         if not self.usable:
             flat = np.full(len(text), self.prior)
             return flat, flat, flat
-        t = np.clip(self.models["text"].margin(text), -12, 12) / 4
-        m = np.clip(self.models["meta"].margin(meta), -12, 12) / 4
+        t, m = self.margins(text, meta)
         a, b, c = self.mix
         sigmoid = lambda z: 1 / (1 + np.exp(-z))
         return sigmoid(a * t + b * m + c), sigmoid(a * t + c), sigmoid(b * m + c)
@@ -149,45 +153,87 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text, np.stack([meta_view(r[1].as_py(), r[2].as_py(), r[3].as_py()) for r in rows])
 
 
+_DOC = ["text", "lang", "source", "n_chars"]
+
+
+def _key() -> Column:
+    """A hash of what a document is scored by."""
+    return F.xxhash64("doc_id", *_DOC)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             text, meta = _views(batch)
             packed = [np.concatenate([t, m]).astype(np.float16).tobytes() for t, m in zip(text, meta, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("good")), pa.array(packed, pa.binary())], ["good", "views"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["key", "label", "views"])
+
+
+def _few(keys: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of (key, label) for each label, those with the smallest hashes; the labels are few."""
+    counts = {r.label: r["count"] for r in keys.groupBy("label").count().collect()}
+    size, hashed = 1 << 30, F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30))
+    chosen = F.lit(False)
+    for label, n in counts.items():
+        chosen = chosen | ((F.col("label") == label) & (hashed < int(min(1.0, most / n) * size)))
+    return keys.where(chosen)
 
 
-def _chosen(ids: DataFrame, most: int) -> DataFrame:
-    """About `most` rows by a hash of their id, at most a few more."""
-    total = ids.count()
-    return ids if total <= most else ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(most / total * (1 << 20)))
+def _collected(docs: DataFrame, few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Views and labels of the documents with these keys, copies once, in the order of the keys."""
+    rows = docs.withColumn("key", _key()).join(F.broadcast(few), "key").dropDuplicates(["key", "label"]).select("key", "label", *_DOC)
+    rows = sorted(rows.mapInArrow(_pack, "key long, label int, views binary").collect(), key=lambda r: (r.key, r.label))
+    x = np.stack([np.frombuffer(r.views, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, WIDTH + META_BINS), np.float32)
+    return x, np.array([r.label for r in rows], np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Learn both views from bounded samples of the documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic)."""
+    """Learn both views from the documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic)."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id")
-    known = known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("doc_id", good.alias("good"))
-    sample = F.broadcast(_chosen(known, LABELLED))  # at most about LABELLED rows of two numbers
-    columns = ["text", "lang", "source", "n_chars"]
-    first = docs.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("good", *columns)
-    free = docs.where(F.col("doc_id").isNotNull()).select("doc_id", *columns)
-    free = _chosen(free, UNLABELLED).join(known.select("doc_id"), "doc_id", "left_anti").select(F.lit(None).cast("int").alias("good"), *columns)
-    rows = first.unionByName(free).mapInArrow(_pack, "good int, views binary").collect()
-    width = WORD_BINS + _SIGNS + 2
-    x = np.stack([np.frombuffer(r.views, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, width + META_BINS), np.float32)
-    y = np.array([-1 if r.good is None else r.good for r in rows], np.float32)
-    del rows  # the driver holds the sample once
-    order = np.lexsort((x[:, -1], x[:, width - 2] if len(x) else x[:, 0], y))  # the same order however rows came
-    x, y = x[order], y[order]
-    own = y >= 0
-    return CoTrained(x[own, :width], x[own, width:], y[own], x[~own, :width], x[~own, width:])
+    known = known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("doc_id", good.alias("label"))
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _key().alias("key"))
+    marked = written(ids.groupBy("doc_id").agg(F.min("key").alias("key")).join(known, "doc_id").select("key", "label"))
+    counts = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+    model = CoTrained(*_collected(docs, _few(marked, LABELLED)), (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
+    if not model.usable:
+        return model
+    named = docs.where(F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    for round_ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model.without_rows())
+
+        def margins(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    found = [pa.array(m.astype(np.float64)) for m in shared.value.margins(*_views(part))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], ["doc_id", "key", "text", "meta"])
+
+        seen = named.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), *_DOC).mapInArrow(margins, "doc_id long, key long, text double, meta double")
+        # Only ids, hashes and margins are dealt out to leave the labelled ones away.
+        seen = written(seen.join(known.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").select("key", "text", "meta").distinct())
+        share = SHARE * (round_ + 1)
+        ends = [share * (1 - model.prior), 1 - share * model.prior]
+        limits = seen.agg(*[F.percentile_approx(v, ends, 1000).alias(v) for v in ("text", "meta")]).first()
+        extra = {}
+        for view, other in (("text", "meta"), ("meta", "text")):
+            if limits[view] is None:
+                continue
+            # Certain ones only: a view that can't tell (its margins are small) labels nothing for the other.
+            low, high = min(limits[view][0], -0.5), max(limits[view][1], 0.5)
+            label = F.when(F.col(view) <= low, 0).when(F.col(view) >= high, 1)
+            few = _few(seen.select("key", label.alias("label")).where(F.col("label").isNotNull()), PSEUDO)
+            extra[other] = _collected(named, few)
+        model.fit(extra)
+        shared.destroy()
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, score, text_score, meta_score, keep) for every document."""
     docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels).without_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
