@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import contract_queries, image_queries
+from tessera.plans import contract_queries, file_queries, image_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return image_queries.queries() | contract_queries.queries()
+    return image_queries.queries() | file_queries.queries() | contract_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return image_queries.oracle_sql() | contract_queries.oracle_sql()
+    return image_queries.oracle_sql() | file_queries.oracle_sql() | contract_queries.oracle_sql()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import pixel
 from tessera.operators import evidence, geometry, images, neighbourhood, resample
 from tessera.plans.rasters import GRAY_SQL, RGBA_SQL, gray, rgba
-from tessera.sinks import encoders
 from tessera.session import spread, table
 
 
@@ -288,10 +287,25 @@ def restore_rgba(spark: SparkSession, d: str) -> DataFrame:
     unit = {c: F.transform(c, lambda v: (v / 255.0).cast("float")) for c in "rgba"}
     rows = rgba(spark, d).withColumns(unit).withColumns({c: F.zip_with(c, "a", lambda v, a: (v * a).cast("float")) for c in "rgb"})
     rows = neighbourhood.restore(rows, list("rgb"), [f"out_{c}" for c in "rgb"], alpha="a")
-    under = F.forall(F.zip_with("out_r", "a", lambda v, a: v <= a), lambda v: v)
+    under = F.forall(F.flatten(F.array(*[F.zip_with(f"out_{c}", "a", lambda v, a: v <= a) for c in "rgb"])), lambda v: v)
     return rows.select("image_id", under.alias("under_alpha"), *[F.round(F.aggregate(f"out_{c}", F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias(f"sum_{c}") for c in "rgb"])
 
 
+_RESTORE_CHANNEL = """
+{c}1 AS (SELECT image_id, x, y, ({c} / 255.0)::FLOAT * (a / 255.0)::FLOAT AS f, (a / 255.0)::FLOAT AS a FROM px),
+{c}2 AS (SELECT p.image_id, p.x, p.y, sum(q.f::DOUBLE) AS s, sum(q.a::DOUBLE) AS w, min(q.f) AS lo, max(q.f) AS hi, any_value(p.f) AS f, any_value(p.a) AS a FROM {c}1 p JOIN {c}1 q ON p.image_id = q.image_id AND abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY p.image_id, p.x, p.y),
+{c}3 AS (SELECT *, CASE WHEN a <= 0 OR w <= 0 THEN 0::FLOAT ELSE greatest(0::FLOAT, least(a, (s / w * a::DOUBLE)::FLOAT)) END AS mean FROM {c}2),
+{c}4 AS (SELECT image_id, x, y, lo, hi, a, greatest(0::FLOAT, least(a, f + 0.2::FLOAT * (mean - f))) AS f FROM {c}3),
+{c}5 AS (SELECT p.image_id, p.x, p.y, sum(q.f::DOUBLE) AS s, sum(q.a::DOUBLE) AS w, any_value(p.lo) AS lo, any_value(p.hi) AS hi, any_value(p.f) AS f, any_value(p.a) AS a FROM {c}4 p JOIN {c}4 q ON p.image_id = q.image_id AND abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY p.image_id, p.x, p.y),
+{c}6 AS (SELECT *, CASE WHEN a <= 0 OR w <= 0 THEN 0::FLOAT ELSE greatest(0::FLOAT, least(a, (s / w * a::DOUBLE)::FLOAT)) END AS mean FROM {c}5),
+{c}7 AS (SELECT image_id, a, greatest(0::FLOAT, least(a, greatest(lo, least(hi, f + 0.15::FLOAT * (f - mean))))) AS v FROM {c}6)"""
+#: The images are smaller than a block, so deblocking changes nothing.
+RESTORE_RGBA = f"""
+WITH {RGBA_SQL}, {", ".join(_RESTORE_CHANNEL.format(c=c).strip() for c in "rgb")}, t AS (SELECT image_id, 'r' AS c, a, v FROM r7 UNION ALL SELECT image_id, 'g', a, v FROM g7 UNION ALL SELECT image_id, 'b', a, v FROM b7)
+SELECT image_id, bool_and(v <= a) AS under_alpha, {", ".join(f"round(sum(v::DOUBLE) FILTER (c = '{c}'), 4) AS sum_{c}" for c in "rgb")} FROM t GROUP BY image_id
+"""
+
+
 def super_resolve(spark: SparkSession, d: str) -> DataFrame:
     return _long(neighbourhood.super_resolve(_sized(spark, d), "f", "out", 2), "out")
 
@@ -408,7 +422,7 @@ SELECT image_id, CASE WHEN bad IS NULL THEN 'None' ELSE 'HiddenRgbInTransparentP
 """
 
 
-# Vectors and files (rows only) ----------------------------------------------------------------------------------------
+# Vectors ----------------------------------------------------------------------------------------
 
 
 def contour_trace(spark: SparkSession, d: str) -> DataFrame:
@@ -417,6 +431,25 @@ def contour_trace(spark: SparkSession, d: str) -> DataFrame:
     return found.select("image_id", "error", F.size("paths").alias("n_paths"), F.size(F.filter("paths", lambda p: p["hole"])).alias("n_holes"), points.alias("n_points"))
 
 
+#: Contours are told by topology: each 4-connected part of the foreground has one around it, each 8-connected part of the ground that
+#: the frame doesn't reach is a hole. A lattice corner with one or three foreground pixels around it is a node; one with two across are two.
+CONTOURS = f"""
+WITH RECURSIVE {GRAY_SQL}, n AS (
+  SELECT i.image_id, x.range - 1 AS x, y.range - 1 AS y, (y.range * 10 + x.range)::INT AS p, coalesce(px.cov >= 128, false) AS fg FROM (SELECT DISTINCT image_id FROM px) i CROSS JOIN range(10) x CROSS JOIN range(10) y
+  LEFT JOIN px ON px.image_id = i.image_id AND px.x = x.range - 1 AND px.y = y.range - 1
+), g AS (
+  SELECT a.image_id, a.p, b.p AS q FROM n a JOIN n b ON a.image_id = b.image_id AND a.fg = b.fg AND a.p <> b.p AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (NOT a.fg OR abs(a.x - b.x) + abs(a.y - b.y) = 1)
+), r AS (SELECT image_id, p, p AS s FROM n UNION SELECT g.image_id, g.q, r.s FROM r JOIN g ON g.image_id = r.image_id AND g.p = r.p WHERE r.s < g.q),
+c AS (SELECT image_id, p, min(s) AS root FROM r GROUP BY image_id, p),
+m AS (SELECT n.image_id, count(DISTINCT root) FILTER (fg) AS parts, count(DISTINCT root) FILTER (NOT fg) - 1 AS holes FROM n JOIN c ON c.image_id = n.image_id AND c.p = n.p GROUP BY n.image_id),
+k AS (
+  SELECT a.image_id, a.fg::INT + b.fg::INT + d.fg::INT + e.fg::INT AS around, a.fg = e.fg AS across FROM n a JOIN n b ON b.image_id = a.image_id AND b.p = a.p + 1 JOIN n d ON d.image_id = a.image_id AND d.p = a.p + 10
+  JOIN n e ON e.image_id = a.image_id AND e.p = a.p + 11 WHERE a.x < 8 AND a.y < 8
+), o AS (SELECT image_id, sum(CASE WHEN around IN (1, 3) THEN 1 WHEN around = 2 AND across THEN 2 ELSE 0 END) AS nodes FROM k GROUP BY image_id)
+SELECT image_id, CASE WHEN parts = 0 THEN 'NoForeground' ELSE 'None' END AS error, (parts + holes)::INT AS n_paths, holes::INT AS n_holes, nodes::INT AS n_points FROM m JOIN o USING (image_id)
+"""
+
+
 def fit_curves(spark: SparkSession, d: str) -> DataFrame:
     return images.curves(gray(spark, d)).select("image_id", "error", "used_curves", "source_nodes", "recovered_nodes", _rounded("raster_iou", 6), F.sha2(F.array_join("data", "\n"), 256).alias("data_sha256"))
 
@@ -425,46 +458,14 @@ def gated_simplify(spark: SparkSession, d: str) -> DataFrame:
     return images.simplified(gray(spark, d)).select("image_id", "error", "total_nodes", "removed", _rounded("raster_iou", 6))
 
 
-def _logos(spark: SparkSession, d: str) -> DataFrame:
-    """32 by 32 opaque images: light ground, two dark blocks whose place and colour follow the part's key."""
-    rows = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 11).cast("int").alias("k"), F.col("p_size").alias("s"))
-    dark = "i % 32 >= 3 + k AND i % 32 < 20 + k AND NOT (i % 32 >= 9 + k AND i % 32 < 13 + k) AND i DIV 32 >= 5 AND i DIV 32 < 24"
-    px = f"transform(sequence(0, 1023), i -> CASE WHEN {dark} THEN concat(lpad(hex(20 + k * 3), 2, '0'), '14', lpad(hex(s % 60), 2, '0'), 'FF') ELSE 'FFFFFFFF' END)"
-    return rows.select("image_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.unhex(F.array_join(F.expr(px), "")).alias("rgba"))
-
-
-def certified_convert(spark: SparkSession, d: str, form: str = "svg") -> DataFrame:
-    found = images.certified_convert(_logos(spark, d), form)
-    return found.select("image_id", "error", "output_sha256", "certificate_sha256", "used_curves", "layers", F.octet_length("bytes").alias("n_bytes"), _rounded("vector_iou", 6))
-
-
-def pam_files(spark: SparkSession, d: str) -> DataFrame:
-    return _logos(spark, d).select("image_id", F.sha2(encoders.pam(F.col("width"), F.col("height"), F.col("rgba")), 256).alias("sha256"), F.octet_length(encoders.pam(F.col("width"), F.col("height"), F.col("rgba"))).alias("n_bytes"))
-
-
-def decode_tiff(spark: SparkSession, d: str) -> DataFrame:
-    """Uncompressed TIFF files built in SQL from the logos, read as a table of binary files, decoded and held against their pixels."""
-    from tessera.sources.binary import checked, decoded
-
-    tag = lambda n, kind, v: f"'{n:04X}{kind:04X}00000001' || lpad(hex({v} * {65536 if kind == 3 else 1}), 8, '0')"
-    entries = [tag(256, 4, 32), tag(257, 4, 32), "'01020003000000040000007A'", tag(259, 3, 1), tag(262, 3, 2), tag(273, 4, 130), tag(277, 3, 4), tag(278, 4, 32), tag(279, 4, 4096), "'015200030000000100020000'"]
-    head = "unhex('4D4D002A00000008' || '000A' || " + " || ".join(entries).replace("'01020003000000040000007A'", "'010200030000000400000086'") + " || '00000000' || '0008000800080008')"
-    files = _logos(spark, d).select(F.col("image_id").cast("string").alias("path"), F.concat(F.expr(head), F.col("rgba")).alias("content"), "rgba")
-    files = files.withColumn("content", F.expr("CASE WHEN CAST(path AS INT) % 5 = 0 THEN substring(content, 1, 2000) WHEN CAST(path AS INT) % 7 = 0 THEN X'00' ELSE content END"))
-    rows = decoded(checked(files.select("path", F.octet_length("content").cast("long").alias("length"), "content")))
-    return rows.select(F.col("path").cast("long").alias("image_id"), "format", "error", "width", "height", F.sha2("rgba", 256).alias("pixels_sha256"))
-
-
 def queries() -> dict:
-    pdf = lambda form: lambda s, d: certified_convert(s, d, form)
     return {
         "mask_roundtrip_iou": mask_roundtrip, "mask_edges": mask_edges, "mask_overlap": mask_overlap, "srgb_linear_roundtrip": srgb_linear, "alpha_roundtrip": alpha_roundtrip,
         "color_bins": color_bins, "content_route": content_route, "topology_components": topology, "boundary_p95": boundary_p95, "pixel_errors": pixel_errors,
         "local_range_3x3": local_range, "denoise_3x3": denoise, "deblock_8": deblock, "sharpen": restore, "restore_rgba": restore_rgba, "super_resolve_2x": super_resolve,
         "taps_lanczos3": tap_table, "resize_lanczos3": resize_lanczos3, "resize_bicubic": resize_bicubic, "downscale_bilinear": downscale_bilinear, "source_fill": source_fill,
         "palette_topk": palette, "nearest_color": nearest_color, "alpha_composite": alpha_composite, "contour_trace": contour_trace, "fit_curves": fit_curves,
-        "gated_simplify": gated_simplify, "certified_convert_svg": certified_convert, "certified_convert_pdf": pdf("pdf"), "certified_convert_eps": pdf("eps"),
-        "certified_convert_dxf": pdf("dxf"), "pam_files": pam_files, "decode_tiff": decode_tiff,
+        "gated_simplify": gated_simplify,
     }
 
 
@@ -474,5 +475,5 @@ def oracle_sql() -> dict[str, str]:
         "color_bins": COLOR_BINS, "content_route": CONTENT_ROUTE, "topology_components": TOPOLOGY, "boundary_p95": BOUNDARY_P95, "pixel_errors": PIXEL_ERRORS,
         "local_range_3x3": LOCAL_RANGE, "denoise_3x3": DENOISE, "deblock_8": DEBLOCK, "sharpen": RESTORE, "super_resolve_2x": SUPER_RESOLVE, "taps_lanczos3": TAP_TABLE,
         "resize_lanczos3": RESIZE_LANCZOS3, "resize_bicubic": RESIZE_BICUBIC, "downscale_bilinear": DOWNSCALE, "source_fill": SOURCE_FILL, "palette_topk": PALETTE,
-        "nearest_color": NEAREST, "alpha_composite": ALPHA_COMPOSITE,
+        "nearest_color": NEAREST, "alpha_composite": ALPHA_COMPOSITE, "contour_trace": CONTOURS, "restore_rgba": RESTORE_RGBA,
     }
