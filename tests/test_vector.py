@@ -222,3 +222,40 @@ def test_pdf_offsets():
 
 
 _ = random
+
+
+def brute_simplified(paths, reference, **gates):
+    """Every trial certified as a whole scene, from the first point on after each removal."""
+    removed = 0
+    while vector.certify_polygons(paths, reference, **gates)["error"] == "None":
+        trials = ((k, i) for k, (points, _) in enumerate(paths) for i in range(len(points) if len(points) > 3 else 0))
+        fewer = lambda k, i: [(p[:i] + p[i + 1 :] if j == k else p, hole) for j, (p, hole) in enumerate(paths)]
+        found = next((t for k, i in trials if vector.certify_polygons(t := fewer(k, i), reference, **gates)["error"] == "None"), None)
+        if found is None:
+            break
+        paths, removed = found, removed + 1
+    return paths, removed
+
+
+@pytest.mark.parametrize("gates", [{}, {"min_iou": 0.9, "most": 0.1}])
+def test_gated_simplification_like_brute_force(gates):
+    rnd = np.random.default_rng(8)
+    for k in range(6):
+        y, x = np.mgrid[:9, :9]
+        m = rnd.random((9, 9)) < 0.5 if k % 2 else (x - 4) ** 2 + (y - 4) ** 2 < 4 * k + 4
+        error, paths = vector.trace(np.where(m, 255, 0))
+        if error == "None":
+            _, got, removed = vector.simplify_gated(paths, m, **gates)
+            assert (got, removed) == brute_simplified(paths, m, **gates)
+
+
+def test_self_intersection_like_all_pairs():
+    rnd = np.random.default_rng(9)
+    for _ in range(300):
+        ring = [tuple(p) for p in rnd.integers(0, 7, (int(rnd.integers(3, 9)), 2)).tolist()]
+        n = len(ring)
+        edges = [(np.array(ring[i]), np.array(ring[(i + 1) % n])) for i in range(n)]
+        want = any((a == b).all() for a, b in edges) or any(
+            bool(vector._touch(*edges[i], *edges[j])) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)
+        )
+        assert vector.self_intersects(ring) == want
