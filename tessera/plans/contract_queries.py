@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.contracts import checks, records
+from tessera.contracts import reports as reports_
 from tessera.session import table
 
 API, RELEASE, INVENTORY, IDENTITY, VERSION, BACKEND = "api.v1", "release.v1", "inventory.v1", "identity.v1", "1.0.0", "tessera-reference"
@@ -331,8 +332,12 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     envelope = "struct('api.v1' AS schema_version, name AS request_id, 'version' AS operation, key AS input_bytes, key * 2 AS output_bytes, key % 7 AS work_units)"
     request = f"struct('export.v1' AS schema_version, name AS export_id, 'pdf' AS format, 'o' AS source_output_id, {_A} AS source_output_sha256, key AS width, 9 AS height, 10 AS estimated_output_bytes)"
+    artifact = f"struct(name AS export_id, 'pdf' AS format, 'o' AS source_output_id, {_A} AS source_output_sha256, sha2(name, 256) AS output_sha256, encode(name, 'UTF-8') AS bytes, key AS peak_intermediate_bytes, 5 AS execution_units)"
+    plan = "struct(array(struct('s1' AS source_id), struct(name AS source_id)) AS contributions)"
+    parts = f"array(struct('c1' AS contribution_id, 'r1' AS source_revision, {_A} AS source_sha256), struct('c2' AS contribution_id, name AS source_revision, sha2(name, 256) AS source_sha256))"
+    hybrid = f"struct('h.v1' AS schema_version, name AS output_id, {_A} AS output_sha256, 'p' AS plan_id, 't' AS vector_topology_revision, key AS expected_vector_components, key + 1 AS actual_vector_components, key % 2 = 0 AS raster_fallback_replaced_vector, {parts} AS contributions)"
     place = "struct(concat('out/', name) AS relative_path, array(struct('k' AS key, name AS value)) AS metadata)"
-    rows = rows.withColumns({"e": F.expr(envelope), "r": F.expr(request), "p": F.expr(place)})
+    rows = rows.withColumns({"e": F.expr(envelope), "r": F.expr(request), "p": F.expr(place), "a": F.expr(artifact), "h": F.expr(plan), "o": F.expr(hybrid)})
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return rows.select(
         "key",
@@ -340,6 +345,8 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
         sha(records.response_report("e", records.request_envelope("e", API), API)).alias("response"),
         sha(records.export_request_report("r")).alias("export_request"),
         sha(records.export_destination_report("p")).alias("destination"),
+        sha(records.export_artifact_report("a")).alias("artifact"),
+        sha(records.hybrid_output_report("h", "o")).alias("hybrid"),
     )
 
 
@@ -348,7 +355,9 @@ SELECT c_custkey AS key,
        sha256('schema_version=api.v1' || chr(10) || 'request_id=' || c_name || chr(10) || 'operation=version' || chr(10) || 'input_bytes=' || c_custkey || chr(10) || 'output_bytes=' || c_custkey * 2 || chr(10) || 'work_units=' || c_custkey % 7 || chr(10)) AS request,
        sha256('schema_version=api.v1' || chr(10) || 'request_id=' || c_name || chr(10) || 'operation=version' || chr(10) || 'status=success' || chr(10) || 'exit_code=0' || chr(10) || 'error=none' || chr(10)) AS response,
        sha256('schema_version=export.v1' || chr(10) || 'export_id=' || c_name || chr(10) || 'format=pdf' || chr(10) || 'source_output_id=o' || chr(10) || 'source_output_sha256=' || {_A} || chr(10) || 'width=' || c_custkey || chr(10) || 'height=9' || chr(10) || 'estimated_output_bytes=10' || chr(10)) AS export_request,
-       sha256('path_bytes=' || strlen('out/' || c_name) || chr(10) || 'path=out/' || c_name || chr(10) || 'metadata_count=1' || chr(10) || 'metadata[0].key_bytes=1' || chr(10) || 'metadata[0].key=k' || chr(10) || 'metadata[0].value_bytes=' || strlen(c_name) || chr(10) || 'metadata[0].value=' || c_name || chr(10)) AS destination
+       sha256('path_bytes=' || strlen('out/' || c_name) || chr(10) || 'path=out/' || c_name || chr(10) || 'metadata_count=1' || chr(10) || 'metadata[0].key_bytes=1' || chr(10) || 'metadata[0].key=k' || chr(10) || 'metadata[0].value_bytes=' || strlen(c_name) || chr(10) || 'metadata[0].value=' || c_name || chr(10)) AS destination,
+       sha256('export_id=' || c_name || chr(10) || 'format=pdf' || chr(10) || 'source_output_id=o' || chr(10) || 'source_output_sha256=' || {_A} || chr(10) || 'output_sha256=' || sha256(c_name) || chr(10) || 'output_bytes=' || strlen(c_name) || chr(10) || 'peak_intermediate_bytes=' || c_custkey || chr(10) || 'execution_units=5' || chr(10)) AS artifact,
+       sha256('schema_version=h.v1' || chr(10) || 'output_id=' || c_name || chr(10) || 'output_sha256=' || {_A} || chr(10) || 'plan_id=p' || chr(10) || 'vector_topology_revision=t' || chr(10) || 'expected_vector_components=' || c_custkey || chr(10) || 'actual_vector_components=' || (c_custkey + 1) || chr(10) || 'raster_fallback_replaced_vector=' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || 'contribution_count=2' || chr(10) || 'contribution[0].id=c1' || chr(10) || 'contribution[0].source_id=s1' || chr(10) || 'contribution[0].revision=r1' || chr(10) || 'contribution[0].sha256=' || {_A} || chr(10) || 'contribution[1].id=c2' || chr(10) || 'contribution[1].source_id=' || c_name || chr(10) || 'contribution[1].revision=' || c_name || chr(10) || 'contribution[1].sha256=' || sha256(c_name) || chr(10) || 'plan_contribution_count=2' || chr(10)) AS hybrid
 FROM customer
 """
 
@@ -525,19 +534,23 @@ SELECT key, key % 2 <> 0 AS lower_sha, true AS any_sha, key % 3 = 0 AS breaks, k
 
 
 def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
-    """Canonical benchmark texts; numbers as %.17e, which only C and Python print alike."""
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
-
-    def run(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [f"metric=price@1|usd|mean|{v:.17e}\n" for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])], ["key", "sha256"])
-
-    return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("sha256", T.StringType())]))
+    """Digests of whole benchmark reports with two metrics."""
+    fields = "'bench.v1' AS schema_version, 'b' AS benchmark_id, '2' AS benchmark_version, concat('run-', o_orderkey) AS run_id, 'd' AS dataset_id, '3' AS dataset_version, o_orderpriority AS model_id, '1' AS model_version, "
+    fields += f"'a' AS architecture_revision, 't' AS training_code_revision, 'p' AS degradation_pipeline_revision, {_A} AS training_artifact_sha256, 'cpu' AS runtime_id, '1' AS runtime_version, o_custkey AS seed, o_orderkey % 97 AS evaluated_samples"
+    metric = lambda name, value: f"struct('{name}' AS name, '1' AS version, 'usd' AS unit, 'mean' AS aggregation, {value} AS value)"
+    record = f"struct({fields}, array({metric('price', 'o_totalprice')}, {metric('share', 'o_totalprice / 700')}) AS metrics)"
+    rows = reports_.benchmark_reports(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.expr(record).alias("b")), "key", "b")
+    return rows.select("key", F.sha2("report", 256).alias("sha256"))
+
+
+BENCHMARK_REPORT = "SELECT o_orderkey AS key, sha256(" + " || ".join(
+    f"{line} || chr(10)"
+    for line in (
+        "'schema=bench.v1'", "'benchmark=b@2'", "'run=run-' || o_orderkey", "'dataset=d@3'", "'model=' || o_orderpriority || '@1'", "'architecture_revision=a'", "'training_code_revision=t'", "'degradation_pipeline_revision=p'",
+        f"'training_artifact_sha256=' || {_A}", "'runtime=cpu@1'", "'seed=' || o_custkey", "'evaluated_samples=' || o_orderkey % 97",
+        "'metric=price@1|usd|mean|' || printf('%.17e', o_totalprice)", "'metric=share@1|usd|mean|' || printf('%.17e', o_totalprice / 700)",
+    )
+) + ") AS sha256 FROM orders"
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
@@ -552,7 +565,7 @@ GATES = "SELECT l_linenumber AS line, count(*) AS n, min(l_orderkey) AS least FR
 _MORE = {
     "package_identity": (package_identity, PACKAGE_IDENTITY), "canonical_reports": (reports, REPORTS), "tile_plan": (tile_plan, TILE_PLAN), "dataset_split": (dataset_split, DATASET_SPLIT),
     "dataset_validate": (dataset_validate, DATASET_VALIDATE), "duplicate_leakage": (duplicate_leakage, DUPLICATE_LEAKAGE), "tensor_shape_validate": (tensor_shape, TENSOR_SHAPE), "ml_reference_execute": (ml_execute, ML_EXECUTE),
-    "raster_formats": (raster_formats, RASTER_FORMATS), "text_predicates": (text_predicates, TEXT_PREDICATES), "benchmark_report": (benchmark_report, None), "production_gates": (gates, GATES),
+    "raster_formats": (raster_formats, RASTER_FORMATS), "text_predicates": (text_predicates, TEXT_PREDICATES), "benchmark_report": (benchmark_report, BENCHMARK_REPORT), "production_gates": (gates, GATES),
 }
 
 
