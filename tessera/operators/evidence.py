@@ -7,7 +7,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.vector import even_odd, iou
@@ -233,6 +233,11 @@ def passes_gates(evidence: dict) -> bool:
     )
 
 
+def gates(component_iou: Column, residual: Column, boundary_p95: Column) -> Column:
+    """passes_gates() for columns of valid measurements."""
+    return (component_iou >= MIN_COMPONENT_IOU) & (residual <= MAX_RESIDUAL) & (boundary_p95 <= MAX_BOUNDARY)
+
+
 # Tables of images -----------------------------------------------------------------------------------------------------
 
 

@@ -268,3 +268,31 @@ def certified_convert(images: DataFrame, form: str, keep: tuple[str, ...] = ("im
         return convert(np.frombuffer(data, np.uint8).reshape(h, w, 4), form, hashlib.sha256(data).hexdigest())
 
     return over_images(images, ["width", "height", "rgba"], _CONVERTED, call, keep)
+
+
+_EVIDENCE = [T.StructField("valid", T.BooleanType()), *(T.StructField(n, T.DoubleType()) for n in ("color_mae", "visible_residual_ratio", "component_iou", "boundary_p95_pixels"))]
+_EVIDENCE += [*(T.StructField(f"{of}_{n}", T.IntegerType()) for n in ("components", "holes") for of in ("reference", "candidate")), T.StructField("passes", T.BooleanType())]
+
+
+def final_evidence(images: DataFrame, svg: str = "bytes", keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """What is measured on final SVG bytes against their source, for rows (width, height, rgba, svg), and whether it passes the gates."""
+
+    def call(w: int | None, h: int | None, data: bytes | None, text: bytes | None) -> dict:
+        if not data or not w or not h or text is None:
+            return {"valid": False, "passes": False}
+        rgba = np.frombuffer(data, np.uint8).reshape(h, w, 4)
+        mask = rgba[..., 3] if (rgba[..., 3] != 255).any() else dark(rgba[..., :3])
+        seen = evidence.svg_evidence(text, rgba, mask, (mask >= 128).astype(np.uint8))
+        return seen | {"passes": evidence.passes_gates(seen)}
+
+    return over_images(images, ["width", "height", "rgba", svg], _EVIDENCE, call, keep)
+
+
+def rasterized(images: DataFrame, svg: str = "bytes", keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keep columns, width, height, pixels binary) of serialised SVG bytes; null where they aren't of the exported subset."""
+
+    def call(text: bytes | None) -> dict:
+        image = None if text is None else evidence.rasterize_svg(text)
+        return {} if image is None else {"width": image.shape[1], "height": image.shape[0], "pixels": image.tobytes()}
+
+    return over_images(images, [svg], [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType())], call, keep)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tessera.contracts import checks, records
 from tessera.contracts import reports as reports_
+from tessera.operators import evidence
 from tessera.session import table
 
 API, RELEASE, INVENTORY, IDENTITY, VERSION, BACKEND = "api.v1", "release.v1", "inventory.v1", "identity.v1", "1.0.0", "tessera-reference"
@@ -556,7 +557,7 @@ BENCHMARK_REPORT = "SELECT o_orderkey AS key, sha256(" + " || ".join(
 def gates(spark: SparkSession, d: str) -> DataFrame:
     """Rows of measurements held against the production and quality gates."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), (1 - F.col("l_discount")).alias("iou"), (F.col("l_tax") / 4).alias("residual"), (F.col("l_quantity") / 50).alias("p95"))
-    return rows.where((F.col("iou") >= 0.95) & (F.col("residual") <= 0.01) & (F.col("p95") <= 0.75)).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    return rows.where(evidence.gates(F.col("iou"), F.col("residual"), F.col("p95"))).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
 
 
 GATES = "SELECT l_linenumber AS line, count(*) AS n, min(l_orderkey) AS least FROM lineitem WHERE 1 - l_discount >= 0.95::DOUBLE AND l_tax / 4 <= 0.01::DOUBLE AND l_quantity / 50 <= 0.75::DOUBLE GROUP BY 1"

@@ -96,6 +96,42 @@ def _convert_sql(form: str) -> str:
     """
 
 
+def _exports(spark: SparkSession, d: str) -> DataFrame:
+    """The logos with their SVG; every fourth one is painted white, every seventh one's text is cut."""
+    source = logos(spark, d)
+    text = F.col("bytes").cast("string")
+    painted = F.when(F.col("image_id") % 4 == 0, F.regexp_replace(text, "#[0-9a-f]{6}", "#ffffff")).when(F.col("image_id") % 7 == 0, F.substring(text, 1, 200)).otherwise(text)
+    return images.certified_convert(source, "svg", ("image_id", "width", "height", "rgba")).withColumn("bytes", painted.cast("binary"))
+
+
+def final_evidence(spark: SparkSession, d: str) -> DataFrame:
+    found = images.final_evidence(_exports(spark, d))
+    measures = [F.coalesce(F.round(n, 6), F.lit(-1.0)).alias(n) for n in ("color_mae", "visible_residual_ratio", "component_iou", "boundary_p95_pixels")]
+    return found.select("image_id", "valid", *measures, *[F.coalesce(n, F.lit(-1)).alias(n) for n in ("reference_components", "candidate_components", "reference_holes", "candidate_holes")], "passes")
+
+
+#: Bytes that can't be measured have the worst values, and no counts.
+FINAL_EVIDENCE = """
+WITH l AS (SELECT p_partkey AS image_id, (p_partkey % 11)::INT AS k, p_size AS s, p_partkey % 4 = 0 AS white, p_partkey % 4 <> 0 AND p_partkey % 7 = 0 AS cut FROM part)
+SELECT image_id, NOT cut AS valid, CASE WHEN cut THEN 1.0 WHEN white THEN round((255 - (20 + k * 3) + 235 + 255 - s % 60) / 765.0::DOUBLE, 6) ELSE 0.0 END::DOUBLE AS color_mae, CASE WHEN cut OR white THEN 1.0 ELSE 0.0 END::DOUBLE AS visible_residual_ratio,
+       CASE WHEN cut THEN 0.0 ELSE 1.0 END::DOUBLE AS component_iou, CASE WHEN cut THEN 'infinity'::DOUBLE ELSE 0.0 END AS boundary_p95_pixels, CASE WHEN cut THEN -1 ELSE 2 END::INT AS reference_components,
+       CASE WHEN cut THEN -1 ELSE 2 END::INT AS candidate_components, CASE WHEN cut THEN -1 ELSE 0 END::INT AS reference_holes, CASE WHEN cut THEN -1 ELSE 0 END::INT AS candidate_holes, NOT cut AND NOT white AS passes FROM l
+"""
+
+
+def rasterize_svg(spark: SparkSession, d: str) -> DataFrame:
+    found = images.rasterized(_exports(spark, d))
+    return found.select("image_id", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"), F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
+RASTERIZE_SVG = """
+WITH l AS (SELECT p_partkey AS image_id, (p_partkey % 11)::INT AS k, p_size AS s, p_partkey % 4 = 0 AS white, p_partkey % 4 <> 0 AND p_partkey % 7 = 0 AS cut FROM part),
+c AS (SELECT image_id, k, cut, CASE WHEN white THEN 'ffffffff' ELSE printf('%02x14%02xff', 20 + k * 3, s % 60) END AS c FROM l),
+i AS (SELECT image_id, cut, unhex(repeat('00000000', 160) || repeat(repeat('00000000', 3 + k) || repeat(c, 6) || repeat('00000000', 4) || repeat(c, 7) || repeat('00000000', 12 - k), 19) || repeat('00000000', 256)) AS px FROM c)
+SELECT image_id, CASE WHEN cut THEN 0 ELSE 32 END::INT AS width, CASE WHEN cut THEN 0 ELSE 32 END::INT AS height, CASE WHEN NOT cut THEN sha256(px) END AS pixels_sha256 FROM i
+"""
+
+
 def pam_files(spark: SparkSession, d: str) -> DataFrame:
     file = encoders.pam(F.col("width"), F.col("height"), F.col("rgba"))
     return logos(spark, d).select("image_id", file.alias("f")).select("image_id", F.sha2("f", 256).alias("sha256"), F.octet_length("f").alias("n_bytes"))
@@ -181,9 +217,9 @@ _FORMS = {f"certified_convert_{form}": form for form in encoders.FORMATS}
 
 def queries() -> dict:
     converted = {name: lambda s, d, form=form: certified_convert(s, d, form) for name, form in _FORMS.items()}
-    return converted | {"pam_files": pam_files, "decode_tiff": decode_tiff, "decode_png": decode_png, "decode_jpeg": decode_jpeg, "decode_webp": decode_webp}
+    return converted | {"pam_files": pam_files, "decode_tiff": decode_tiff, "decode_png": decode_png, "decode_jpeg": decode_jpeg, "decode_webp": decode_webp, "final_evidence": final_evidence, "rasterize_svg": rasterize_svg}
 
 
 def oracle_sql() -> dict[str, str]:
     read = {"decode_tiff": _decoded_sql("TIFF", "TruncatedPixelData"), "decode_png": _decoded_sql("PNG", "MalformedContainer"), "decode_jpeg": _decoded_sql("JPEG", "TruncatedPixelData", _FLAT), "decode_webp": _decoded_sql("WebP", "MalformedContainer")}
-    return {name: _convert_sql(form) for name, form in _FORMS.items()} | {"pam_files": PAM_FILES} | read
+    return {name: _convert_sql(form) for name, form in _FORMS.items()} | {"pam_files": PAM_FILES, "final_evidence": FINAL_EVIDENCE, "rasterize_svg": RASTERIZE_SVG} | read
