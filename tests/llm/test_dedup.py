@@ -257,6 +257,52 @@ def test_versions_that_differ_from_the_smallest_are_one_class(spark):
     assert [found[i] for i in range(len(rows))] == parent and len(set(parent)) > 1
 
 
+def test_versions_in_a_long_bucket_are_one_class(spark):
+    """As above, with more nodes in a bucket than FINE: families that are alike only among themselves."""
+    rnd = random.Random(15)
+    word = lambda: f"t{rnd.randrange(5000)}"
+    shared = [word() for _ in range(75)]
+    rows = [(0, " ".join(shared + [word() for _ in range(25)]))]
+    for _ in range(24):
+        family = [word() for _ in range(25)]
+        for _ in range(5):
+            own = list(family)
+            for k in rnd.sample(range(25), 8):
+                own[k] = word()
+            rows.append((len(rows), " ".join(shared + own)))
+    codes = [np.array([int(w[1:]) for w in t.split()], np.uint32) for _, t in rows]
+    links = [(b, a) for a in range(len(rows)) for b in range(a) if order_minhash.similar(codes[a], codes[b])]
+    parent = list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.row.doc_id: r.class_id for r in order_minhash.near_copies(df).collect()}
+    assert [found[i] for i in range(len(rows))] == parent and len(set(parent)) > 20
+
+
+def test_parts_of_a_long_bucket_like_all_pairs(spark):
+    rnd = random.Random(16)
+    texts = [[rnd.randrange(3) for _ in range(rnd.randint(12, 16))] for _ in range(90)]
+    codes = [np.array(t, np.uint32) for t in texts]
+    counts = order_minhash._overlaps([order_minhash._labelled(c.astype(np.uint64)) for c in codes], [order_minhash._labelled(c.astype(np.uint64)) for c in codes], 16)
+    assert all(counts[a, b] == order_minhash._in_common(codes[a], codes[b]) for a in range(90) for b in range(90))
+    rows = [(b, i, len(texts[i]), i, 0, 60, 400) for b in (1, 2) for i in range(30 * b - 30, 30 * b + 30)]
+    state = spark.createDataFrame(rows, "bucket long, id long, n int, class long, low long, held long, words long")
+    named = spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(codes)], "id long, codes binary")
+    none = spark.createDataFrame([], "id long, class_id long")
+    parent = list(range(90))
+    for _ in texts:
+        for a in range(90):
+            for b in range(max(0, a // 30 * 30 - 30), a):
+                if order_minhash.similar(codes[a], codes[b]):
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    for block in (7, 100):
+        found = {r.id: r.class_id for r in order_minhash.across_blocks(state, none, named, 0.8, block).collect()}
+        assert [found.get(i, i) for i in range(90)] == parent
+    assert 10 < len(set(parent)) < 90
+
+
 def test_chains_of_links_are_one_class(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 105), (101, 105), (50, 60)], "a long, b long")
     found = {r.id: r.class_id for r in order_minhash.classes(links).collect()}
