@@ -473,3 +473,15 @@ def test_webp_rejections():
 
 def test_unknown_format():
     assert d.decode(None, b"GIF89a") == ("UnsupportedFeature", None)
+
+
+def test_webp_literals_are_looked_up_at_once(monkeypatch):
+    """A run of literals takes a few steps a pixel: read() is left for the lengths of the codes and the last bytes."""
+    from tessera.plans import encoded
+
+    reads = []
+    real = d._Bits.read
+    monkeypatch.setattr(d._Bits, "read", lambda self, n, *error: (reads.append(n), real(self, n, *error))[1])
+    image = np.random.default_rng(3).integers(0, 256, (40, 40, 4)).astype(np.uint8)
+    assert (d.decode_webp(encoded.webp(image)) == image).all()
+    assert len(reads) < image.size / 4
