@@ -17,11 +17,17 @@ from tessera.operators import evidence, resample, vector
 from tessera.operators.planes import lists
 from tessera.sinks import encoders
 
+#: Bytes of inputs and results that a task remembers, to compute rows with equal inputs once.
+REMEMBERED = 32 << 20
+
 PATHS = T.ArrayType(T.StructType([T.StructField("points", T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))), T.StructField("hole", T.BooleanType())]))
 
 
 def over_images(df: DataFrame, inputs: list[str], fields: list[T.StructField], call: Callable[..., dict], keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Rows (keep columns, fields): call(*inputs of a row) gives the fields of the row as a dict; arrays come as numpy ones."""
+    """Rows (keep columns, fields): call(*inputs of a row) gives the fields of the row as a dict; arrays come as numpy ones.
+
+    The fields follow from the inputs alone, so a task calls once for rows whose inputs are equal, as far as it remembers them.
+    """
     source = df.select(*keep, *[c for c in inputs if c not in keep])
     names = source.columns
     schema = T.StructType([*[source.schema[k] for k in keep], *fields])
@@ -30,9 +36,10 @@ def over_images(df: DataFrame, inputs: list[str], fields: list[T.StructField], c
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
+        one = remembered(call)
         for batch in batches:
             columns = [_values(batch.column(names.index(c))) for c in inputs]
-            rows = [call(*row) for row in zip(*columns, strict=True)]
+            rows = [one(*row) for row in zip(*columns, strict=True)]
             kept = [batch.column(names.index(k)) for k in keep]
             values = [pa.array([r.get(f.name) for r in rows], out.field(f.name).type) for f in fields]
             yield pa.RecordBatch.from_arrays([*kept, *values], schema=out)
@@ -40,6 +47,30 @@ def over_images(df: DataFrame, inputs: list[str], fields: list[T.StructField], c
     return source.mapInArrow(run, schema)
 
 
+def remembered(call: Callable[..., dict], most: int = REMEMBERED) -> Callable[..., dict]:
+    """call() with its results kept by all inputs, about `most` bytes of both; rows with arrays aren't kept."""
+    known: dict[tuple, dict] = {}
+    held = 0
+
+    def one(*row: object) -> dict:
+        nonlocal held
+        if any(isinstance(v, np.ndarray | list) for v in row):
+            return call(*row)
+        found = known.get(row)
+        if found is None:
+            found = call(*row)
+            size = 1000 + sum(len(v) for v in (*row, *found.values()) if isinstance(v, bytes | str))
+            if held + size > most:
+                known.clear()
+                held = 0
+            if size <= most:
+                known[row] = found
+                held += size
+        return found
+
+    return one
+
+
 def _values(column: pa.Array) -> list:
     """Python values of a column; rows of arrays of numbers as slices of the column's buffer (null: None)."""
     if not pa.types.is_list(column.type) or pa.types.is_nested(column.type.value_type):

@@ -259,3 +259,18 @@ def test_self_intersection_like_all_pairs():
             bool(vector._touch(*edges[i], *edges[j])) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)
         )
         assert vector.self_intersects(ring) == want
+
+
+def test_equal_inputs_are_computed_once():
+    calls = []
+
+    def call(w, data):
+        calls.append((w, data))
+        return {"size": 0 if data is None else len(data), "bytes": data}
+
+    one = images.remembered(call, 3000)
+    rows = [(1, b"a"), (1, b"a"), (2, b"a"), (1, None), (1, None), (1, b"a")]
+    assert [one(*r)["bytes"] for r in rows] == [d for _, d in rows] and len(calls) == 4  # the fourth empties what is held
+    assert one(1, b"x" * 5000)["size"] == 5000 and one(1, b"a")["size"] == 1
+    grid = np.zeros(3)
+    assert one(1, grid)["bytes"] is grid and one(1, grid)["bytes"] is grid and len(calls) == 8
