@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from tessera.session import written
 
-#: Characters of text that a task takes together before it sends segments.
-GROUP_CHARS = 8_000_000
+#: Characters of text that a task takes together before it sends segments (some 25 bytes of memory each).
+GROUP_CHARS = 3_000_000
 #: Segments of a minimiser that are matched together (20,000 make an automaton of 150 MB), and of a shard.
 GROUP_SEGMENTS, SHARD_SEGMENTS = 10_000, 500_000
 #: Bytes of text for each partition, about.

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -317,3 +319,18 @@ def test_query_digests(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in op1_substring_dedup(spark, str(tmp_path)).collect()), key=str)
     assert found == sorted([(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(rows, 13)], key=str)
+
+
+def test_memory_of_sending_is_bounded():
+    """A task holds a few MB of text at a time, with about 25 bytes for each of its characters."""
+    rnd = random.Random(17)
+    words = [f"v{i}" for i in range(20_000)]
+    rows = [(i, i, " ".join(rnd.choices(words, k=2000))) for i in range(600)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 100], strict=True)], ["a", "b", "c"]) for k in range(0, 600, 100)]
+    tracemalloc.start()
+    try:
+        for sent in windows._send(iter(batches), 13, 5, 4):
+            assert sent.num_rows
+        assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    finally:
+        tracemalloc.stop()
