@@ -430,7 +430,8 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     left = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("_id"), _text_hash(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     left = left.mapInArrow(_squeezed, T.StructType([*left.schema.fields[:3], T.StructField("_text", T.BinaryType())]))  # less to shuffle
-    joined = left.join(gone, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left").select("row", "_text", "starts", "sizes")
+    # Always the join that large tables need: a broadcast of few removed stretches would hide its share of the disk from a small run.
+    joined = left.join(gone.hint("merge"), (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left").select("row", "_text", "starts", "sizes")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType(
         [joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.StringType())]

@@ -334,3 +334,13 @@ def test_memory_of_sending_is_bounded():
         assert tracemalloc.get_traced_memory()[1] < 120_000_000
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_array])
+def test_small_tables_are_joined_like_large_ones(spark, operator):
+    """The shuffle of the texts grows in proportion: no broadcast join that gives way to another one as the table grows."""
+    text = " ".join(f"x{i}" for i in range(60))
+    df = operator.deduplicated(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    assert [r.n_removed for r in sorted(df.collect(), key=lambda r: r.row.doc_id)] == [0, 60]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
