@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from tessera.llm import bpe, credentials
+from tessera.llm import bpe, credentials, order_minhash
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,30 @@ def test_stages_keep_the_columns(spark, case):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, case[0]).columns == docs.columns
         assert stage(spark, docs.limit(0), case[0]).count() == 0
+
+
+def test_near_copies_of_a_passage_that_many_texts_share(spark):
+    """One document of each family in a bucket of more than FINE, whose smallest node is unlike all of them."""
+    rnd = random.Random(15)
+    word = lambda: f"t{rnd.randrange(5000)}"
+    shared = [word() for _ in range(75)]
+    rows = [(0, " ".join(shared + [word() for _ in range(25)]))]
+    for _ in range(24):
+        family = [word() for _ in range(25)]
+        for _ in range(5):
+            own = list(family)
+            for k in rnd.sample(range(25), 8):
+                own[k] = word()
+            rows.append((len(rows), " ".join(shared + own)))
+    codes = [np.array([int(w[1:]) for w in t.split()], np.uint32) for _, t in rows]
+    links = [(b, a) for a in range(len(rows)) for b in range(a) if order_minhash.similar(codes[a], codes[b])]
+    parent = list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    batch_rows = spark.conf.get(corpus_pipeline._BATCH)
+    try:
+        kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    finally:
+        spark.conf.set(corpus_pipeline._BATCH, batch_rows)
+    assert sorted(r.doc_id for r in kept) == sorted(set(parent))
