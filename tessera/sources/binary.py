@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.images import remembered
 from tessera.sources.decode import decode
 
 #: Bytes of a file.
@@ -50,16 +51,22 @@ def stream(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """(path, format, error, width, height, rgba binary): pixels of files without an error, straight RGBA bytes in row-major order."""
+    """(path, format, error, width, height, rgba binary): pixels of files without an error, straight RGBA bytes in row-major order.
+
+    A task decodes equal files once, as far as it remembers them.
+    """
+
+    def call(form: str | None, content: bytes) -> dict:
+        error, image = decode(form, content)
+        return {"error": error} if image is None else {"error": error, "width": image.shape[1], "height": image.shape[0], "rgba": image.tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = remembered(call)
         for batch in batches:
             for k in range(batch.num_rows):  # one image at a time, so that a batch's pixels are never all in memory
                 path, form, error, content = (c[k].as_py() for c in batch.columns)
-                image = None
-                if error == "None":
-                    error, image = decode(form, content)
-                size = (image.shape[1], image.shape[0], image.tobytes()) if image is not None else (None, None, None)
+                found = one(form, content) if error == "None" else {"error": error}
+                error, size = found["error"], [found.get(n) for n in ("width", "height", "rgba")]
                 kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, form, error, *size), kinds, strict=True)], names)
 
