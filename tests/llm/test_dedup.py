@@ -234,6 +234,27 @@ def test_buckets_whose_smallest_node_matches_nobody(spark):
     assert len(set(asked)) == len(asked) and len(set(parent)) > 1
 
 
+def test_rounds_leave_out_no_bucket(spark):
+    """A bucket of more than FINE nodes, in which only the two largest are similar, beside a short one."""
+    texts = [[100 * i + k for k in range(20)] for i in range(44)]
+    texts.append([*texts[-1][:-1], 1])
+    codes = {i: np.array(t, np.uint32) for i, t in enumerate(texts)}
+    held = [(7, i) for i in range(45)] + [(8, 3), (8, 4)]
+    rows = spark.createDataFrame(held, "bucket long, id long")
+    sizes = spark.createDataFrame([(i, 20) for i in codes], "id long, n int")
+    asked = []
+
+    def verified(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        good = [p for p in asked if order_minhash.similar(codes[p[0]], codes[p[1]])]
+        return spark.createDataFrame(good, "a long, b long")
+
+    none = spark.createDataFrame([], "id long, class_id long")
+    found = {r.id: r.class_id for r in order_minhash.among_classes(rows, sizes, none, verified, 0.8).collect()}
+    assert found == {43: 43, 44: 43}
+    assert len(set(asked)) == len(asked) and len(asked) > 900
+
+
 def test_versions_that_differ_from_the_smallest_are_one_class(spark):
     """Half of each text is shared, in one bucket; the rest differs between the smallest and the others, and drifts."""
     rnd = random.Random(14)
