@@ -255,6 +255,56 @@ def test_rounds_leave_out_no_bucket(spark):
     assert len(set(asked)) == len(asked) and len(asked) > 900
 
 
+def short_corpus(most=14):
+    """Short texts and versions of them with a few words edited."""
+    rnd = random.Random(18)
+    word = lambda: f"s{rnd.randrange(60)}"
+    texts = []
+    for n in [*range(1, most + 1)] * 12:
+        texts.append([word() for _ in range(n)])
+        for _ in range(2):
+            own = list(texts[-1])
+            for _ in range(rnd.randint(1, 2)):
+                k = rnd.randrange(len(own) + 1)
+                own[k : k + rnd.randrange(2)] = [word()] * rnd.randrange(2)
+            if 0 < len(own) <= most:
+                texts.append(own)
+    return texts
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9, 1.0])
+def test_short_near_copies_have_words_left_in_common(similarity):
+    texts = short_corpus()
+    keys = [set(order_minhash.shortened([w.encode() for w in t], similarity)) for t in texts]
+    codes = [np.array([int(w[1:]) for w in t], np.uint32) for t in texts]
+    found = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            longer = max(len(texts[a]), len(texts[b]))
+            if int((1 - similarity) * longer + 1e-9) <= order_minhash.EDITS and texts[a] != texts[b] and order_minhash.similar(codes[a], codes[b], similarity):
+                found += 1
+                assert keys[a] & keys[b]
+    assert found > 20 or similarity >= 0.9
+    assert max(map(len, keys)) <= 106
+
+
+def test_short_near_copies_are_one_class(spark):
+    """Texts of up to 14 words, most edits of which leave no run of five words: all links of brute force."""
+    texts = [*short_corpus(), "a b c d".split(), "a b c d e".split()]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    number = {w: i for i, w in enumerate({w for t in texts for w in t})}
+    codes = [np.array([number[w] for w in t], np.uint32) for t in texts]
+    parent = list(range(len(rows)))
+    links = [(b, a) for a in range(len(rows)) for b in range(a) if order_minhash.similar(codes[a], codes[b])]
+    for _ in rows:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.row.doc_id: r.class_id for r in order_minhash.near_copies(df).collect()}
+    assert [found[i] for i in range(len(rows))] == parent
+    assert found[len(rows) - 1] == len(rows) - 2
+
+
 def test_versions_that_differ_from_the_smallest_are_one_class(spark):
     """Half of each text is shared, in one bucket; the rest differs between the smallest and the others, and drifts."""
     rnd = random.Random(14)
