@@ -305,6 +305,49 @@ def test_short_near_copies_are_one_class(spark):
     assert found[len(rows) - 1] == len(rows) - 2
 
 
+def spread_corpus(versions):
+    """Texts, and versions with every fifth word edited: no run of five words is left, at an edit similarity of 0.8."""
+    rnd = random.Random(19)
+    word = lambda: f"r{rnd.randrange(4000)}"
+    texts = []
+    for count in versions:
+        base = [word() for _ in range(rnd.choice([50, 100, 150]))]
+        texts.append(base)
+        for _ in range(count):
+            first = rnd.randrange(5)
+            texts.append([word() if k % 5 == first else w for k, w in enumerate(base)])
+    return texts
+
+
+@pytest.mark.parametrize("versions", [(1, 2, 3, 5, 8, 13), (50, 2, 40)])
+def test_near_copies_without_a_common_run_are_one_class(spark, versions):
+    """All links of brute force, in buckets of rare runs of up to FINE nodes and of more."""
+    texts = spread_corpus(versions)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    codes = [np.array([int(w[1:]) for w in t], np.uint32) for t in texts]
+    parent = list(range(len(rows)))
+    for _ in range(3):
+        for a in range(len(rows)):
+            for b in range(a):
+                if order_minhash.similar(codes[a], codes[b]):
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.row.doc_id: r.class_id for r in order_minhash.near_copies(df).collect()}
+    assert [found[i] for i in range(len(rows))] == parent and len(set(parent)) == len(versions)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_near_copies_have_a_rare_run_in_common(similarity):
+    texts = [[w.encode() for w in t] for t in [*short_corpus(30), *spread_corpus((2, 3))]]
+    codes = [np.array([int(w[1:]) + 5000 * (w[:1] == b"r") for w in t], np.uint32) for t in texts]
+    counts = np.random.default_rng(1).integers(0, 3, order_minhash.CELLS)
+    grams, of = order_minhash._rare(texts, counts, similarity)
+    held = [set(grams[of == i].tolist()) for i in range(len(texts))]
+    found = [(a, b) for a in range(len(texts)) for b in range(a) if order_minhash.similar(codes[a], codes[b], similarity)]
+    assert len(found) > 100 and all(held[a] & held[b] for a, b in found if len(texts[a]) > 1 and len(texts[b]) > 1)
+    assert len(grams) < sum(map(len, texts)) * (0.8 if similarity == 0.5 else 0.6)
+
+
 def test_versions_that_differ_from_the_smallest_are_one_class(spark):
     """Half of each text is shared, in one bucket; the rest differs between the smallest and the others, and drifts."""
     rnd = random.Random(14)
