@@ -452,6 +452,35 @@ def test_memory_of_sending_is_bounded():
         tracemalloc.stop()
 
 
+def test_memory_of_splitting_texts_is_bounded():
+    """A batch of any number of texts is split into words SPLIT characters at a time, and rare runs are sent as they come."""
+    rnd = random.Random(23)
+    words = [f"v{i}" for i in range(20_000)]
+    texts = [" ".join(rnd.choices(words, k=400)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, "a b", "b " * 300_000, *texts[:9]])], ["text"])
+    counts = np.zeros(order_minhash.CELLS, np.int32)
+    for run in (lambda it: order_minhash._sketch(it, 0.8), lambda it: order_minhash._dealt(it, counts, 0.8, 8)):
+        tracemalloc.start()
+        try:
+            rows = [out.num_rows for out in run(iter([batch]))]
+            assert tracemalloc.get_traced_memory()[1] < 100_000_000
+        finally:
+            tracemalloc.stop()
+        assert len(rows) > 1
+    assert [k for g in order_minhash._texts(iter([batch])) for k, _ in g] == [hashlib.sha256(" ".join(t.split()).encode()).digest() for t in batch.column(0).to_pylist()[:-9]]
+
+
+def test_codes_of_wanted_texts_only(spark):
+    rows = [(i, f"w{i} x{i % 7}  y") for i in range(500)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    nodes = texts.select(order_minhash._key(texts.text).alias("words"), "id")
+    found = {r.id: np.frombuffer(r.codes, np.uint32).tolist() for r in order_minhash.coded(texts.select("text"), nodes.where("id % 50 = 0")).collect()}
+    assert found == {i: [order_minhash._hash(w.encode()) >> 32 for w in t.split()] for i, t in rows if i % 50 == 0}
+    every, few = np.full(order_minhash.WANTED // 8, 255, np.uint8), np.zeros(order_minhash.WANTED // 8, np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"])
+    assert [sum(b.num_rows for b in order_minhash._codes(iter([batch]), w)) for w in (every, few)] == [500, 0]
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_array])
 def test_small_tables_are_joined_like_large_ones(spark, operator):
     """The shuffle of the texts grows in proportion: no broadcast join that gives way to another one as the table grows."""
