@@ -470,6 +470,70 @@ def test_memory_of_splitting_texts_is_bounded():
     assert [k for g in order_minhash._texts(iter([batch])) for k, _ in g] == [hashlib.sha256(" ".join(t.split()).encode()).digest() for t in batch.column(0).to_pylist()[:-9]]
 
 
+def test_classes_by_id_are_those_of_the_rows(spark):
+    """Copies, near copies, null texts and ids; no text is sent by the last join."""
+    base = [f"c{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (3, " ".join(base)), (4, " ".join([*base, "more"])), (3, "other words"), (7, None), (None, "other words"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = order_minhash.class_ids(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row#" not in plan
+    want = sorted(((r.row.doc_id, r.class_id) for r in order_minhash.near_copies(df).collect()), key=str)
+    assert sorted(map(tuple, found.collect()), key=str) == want and len(want) == len(rows) and (5, 3) in want and (4, 3) in want
+
+
+def test_pairs_of_rare_buckets_like_brute_force():
+    """Buckets of up to a bound give pairs with the number of buckets that they share, in any groups; the rows of longer ones stay."""
+    rnd = random.Random(29)
+    size = {i: rnd.randint(20, 60) for i in range(80)}
+    kind = {i: i // 3 * 3 for i in size}
+    rows = [(b, i, size[i], kind[i]) for b in range(40) for i in rnd.sample(range(80), 30 if b < 3 else rnd.randint(2, 9))]
+    part = pa.table(dict(zip(("part", "bucket", "id", "n", "class"), ([0] * len(rows), *zip(*rows, strict=True)), strict=True)), pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("class", pa.int64())]))
+    state = order_minhash._mixed_buckets(part, 0.8).to_pylist()
+    members = {}
+    for r in state:
+        members.setdefault(r["bucket"], []).append(r)
+    want = {}
+    for held in (m for m in members.values() if len(m) <= 9):
+        for x in held:
+            for y in held:
+                if x["id"] < y["id"] and x["class"] != y["class"] and abs(x["n"] - y["n"]) <= 0.2 * max(x["n"], y["n"]) + 1e-9:
+                    want[x["id"], y["id"]] = want.get((x["id"], y["id"]), 0) + 1
+    for most in (20, 1_000_000):
+        order_minhash.PAIRS, before = most, order_minhash.PAIRS
+        try:
+            out = [r for b in order_minhash._paired(part, 0.8, 5, 9) for r in b.to_pylist()]
+        finally:
+            order_minhash.PAIRS = before
+        assert sorted(r["id"] for r in out if r["home"] is None) == sorted(r["id"] for m in members.values() if len(m) > 9 for r in m) != []
+        found, good = {}, set()
+        for home in {r["home"] for r in out} - {None}:
+            blobs = [r["pairs"] for r in out if r["home"] == home]
+            for p in np.concatenate([np.frombuffer(b, order_minhash._PAIR) for b in blobs]).tolist():
+                found[p[0], p[1]] = found.get((p[0], p[1]), 0) + p[2]
+                assert p[3] == min(order_minhash.SHARED + min(size[p[0]], size[p[1]]) // order_minhash.FURTHER, order_minhash._least_shared(np.array([max(size[p[0]], size[p[1]])]), 0.8)[0])
+            good |= {(r["a"], r["b"]) for r in order_minhash._enough(pa.table({"pairs": pa.array(blobs, pa.binary())})).to_pylist()}
+        assert found == want and len(want) > 100
+        assert good == {p for p, n in want.items() if n >= order_minhash.SHARED + min(size[p[0]], size[p[1]]) // order_minhash.FURTHER}
+
+
+def test_buckets_of_one_passage_are_compared_as_one(spark):
+    """Texts that share many long buckets are sent once, not once a bucket."""
+    state = spark.createDataFrame([(b, i, 100, i, 0, 50, 5000) for b in range(30) for i in range(50)], "bucket long, id long, n int, class long, low long, held long, words long")
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 32, 100, np.uint32)
+    texts = [np.where(np.arange(100) < 90 if i < 25 else np.arange(100) < 10, base, rnd.integers(0, 1 << 32, 100, np.uint32)) for i in range(50)]
+    codes = spark.createDataFrame([(i, t.astype(np.uint32).tobytes()) for i, t in enumerate(texts)], "id long, codes binary")
+    made = []
+    real, order_minhash.written = order_minhash.written, lambda df: made.append(real(df)) or made[-1]
+    try:
+        found = {r.id: r.class_id for r in order_minhash.across_blocks(state, spark.createDataFrame([], "id long, class_id long"), codes, 0.8).collect()}
+    finally:
+        order_minhash.written = real
+    assert found == {i: 0 for i in range(25)}
+    assert [len(r.places) for r in made[0].collect()] == [1] * 50
+
+
 def test_codes_of_wanted_texts_only(spark):
     rows = [(i, f"w{i} x{i % 7}  y") for i in range(500)]
     texts = spark.createDataFrame(rows, "id long, text string")
